@@ -69,8 +69,9 @@ def runs_of(units: np.ndarray, at: np.ndarray, window: int, gram: int) -> tuple[
     new = np.ones(len(p), bool)
     new[1:] = (a[1:] != a[:-1]) | (p[1:] != p[:-1] + 1)
     if len(long) > 1:  # a run never spans two texts
-        doc = np.searchsorted(at, p, "right")
-        new[1:] |= doc[1:] != doc[:-1]
+        opens = np.zeros(len(units) + 1, bool)
+        opens[at] = True
+        new |= opens[p]
     f = np.flatnonzero(new)
     first, count = p[f], np.diff(np.append(f, len(p)))
     return first, count, gram_hash[a[f]], hashes.of(first, first + count + window - 1)
@@ -113,16 +114,20 @@ class Unit:
         self.doc = np.searchsorted(self.at, self.first, "right") - 1
         key1 = (head & ~U64((1 << 24) - 1)) | (content >> U64(40))
         key2 = ((content >> U64(8)) & U64(0xFFFFFFFF)).astype(np.uint32)
-        order = np.lexsort((key2, key1))
+        order = np.argsort(key1)
         k1, k2 = key1[order], key2[order]
         new = np.ones(len(order), bool)
-        new[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
+        new[1:] = k1[1:] != k1[:-1]
+        if ((k2[1:] != k2[:-1]) & ~new[1:]).any():
+            order = np.lexsort((key2, key1))
+            k1, k2 = key1[order], key2[order]
+            new[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
         self.entry = np.empty(len(order), np.int64)
         self.entry[order] = np.cumsum(new) - 1
         begin = np.flatnonzero(new)
         self.key1, self.key2 = k1[begin], k2[begin]
         self.times = np.diff(np.append(begin, len(order)))
-        self.sample = order[begin]  # a stable sort: the first occurrence, in doc order
+        self.sample = np.minimum.reduceat(order, begin) if len(begin) else begin  # the first occurrence, in doc order
         self.least = self.key[self.doc[self.sample]] if len(begin) else np.zeros(0, np.int64)
         self.bucket = ((self.key1 >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
 
@@ -195,7 +200,7 @@ def repeated_windows(
         table = table.sort_by("unit")
         k1s, k2s, units = _bytes(table["body"], U64), _bytes(table["more"], np.uint32), table["unit"].to_numpy()
         k1, k2 = np.concatenate(k1s), np.concatenate(k2s)
-        order = np.argsort(k1, kind="stable")
+        order = np.argsort(k1)
         a, b = k1[order], k2[order]
         head = a >> U64(24)
         new = np.ones(len(a), bool)
@@ -204,10 +209,11 @@ def repeated_windows(
         differs[1:] = ~new[1:] & ((a[1:] != a[:-1]) | (b[1:] != b[:-1]))
         begin = np.flatnonzero(new)
         size = np.diff(np.append(begin, len(a)))
-        code = np.where(np.repeat(np.add.reduceat(differs, begin), size) > 0, 2, (~new if spec.earlier else np.repeat(size, size) > 1).astype(np.int64))
-        out = np.empty(len(a), np.uint8)
-        out[order] = code
         cuts = np.cumsum([0, *map(len, k1s)])
+        # rows stand in the order of units, so the least row of a group is in its first unit
+        elsewhere = order != np.repeat(np.minimum.reduceat(order, begin), size) if spec.earlier else np.repeat(size, size) > 1
+        out = np.empty(len(a), np.uint8)
+        out[order] = np.where(np.repeat(np.add.reduceat(differs, begin), size) > 0, 2, elsewhere)
         bucket = table["bucket"][0].as_py()
         return _rows(["unit", "kind", "bucket", "body"], [i4, i4, i4, b8], [(int(u), 1, bucket, out[cuts[i] : cuts[i + 1]].tobytes()) for i, u in enumerate(units)])
 

@@ -37,41 +37,32 @@ RESULT = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, k
 def shard_transform(content: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Transform, LF mapping and rank of each text position of a collection of strings.
 
-    Each string is followed by one end mark that is less than any byte.  Ranks come
-    from prefix doubling that starts at eight symbols."""
+    Each string is followed by one end mark that is less than any byte (UTF-8 has no
+    byte 0xFF, so byte + 1 fits eight bits).  Suffixes are ordered by their first
+    sixteen symbols, a transform of bounded context: the refinement that follows
+    orders them by the rest."""
     ends = np.cumsum(length + 1)
-    text = np.zeros(int(ends[-1]) + 8, np.uint64)
-    put = np.ones(int(ends[-1]), bool)
-    put[ends - 1] = False
-    text[: int(ends[-1])][put] = content.astype(np.uint64) + np.uint64(1)
     n = int(ends[-1])
-    # nine bits would be needed for byte + 1; seven symbols of nine bits fit a word
-    key = np.zeros(n, U64)
-    for i in range(7):
-        key = (key << U64(9)) | text[i : i + n]
-    step, stop = 7, int(length.max()) + 1 if len(length) else 0
-    order = np.argsort(key, kind="stable")
-    while True:
-        k = key[order]
-        new = np.ones(n, bool)
-        new[1:] = k[1:] != k[:-1]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new) - 1
-        if new.all() or step >= stop + 7:
-            break
-        second = np.zeros(n, np.int64)
-        second[: n - step] = rank[step:] + 1
-        key = (rank.astype(U64) << U64(32)) | second.astype(U64)
-        order = np.argsort(key, kind="stable")
-        step *= 2
+    text = np.zeros(n + 16, U64)
+    put = np.ones(n, bool)
+    put[ends - 1] = False
+    text[:n][put] = content.astype(U64) + U64(1)
+    eight = (text[:-1] << U64(8)) | text[1:]
+    eight = (eight[:-2] << U64(16)) | eight[2:]
+    eight = (eight[:-4] << U64(32)) | eight[4:]
+    order = np.argsort(eight[:n])
+    k = eight[order]
+    rank = np.empty(n, np.int64)
+    rank[order] = np.cumsum(np.append(False, k[1:] != k[:-1]))
+    second = np.zeros(n, np.int64)
+    second[: n - 8] = rank[8:] + 1
+    order = np.argsort((rank << 32) | second)
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
-    symbol = np.zeros(n, np.uint16)
-    symbol[place[1:]] = text[: n - 1]
-    symbol[place[0]] = 0
-    before = np.zeros(n, np.int64)
-    before[place[1:]] = place[:-1]
-    before[place[0]] = place[n - 1]
+    symbol = np.empty(n, np.uint8)
+    symbol[place] = np.append(0, text[: n - 1])
+    before = np.empty(n, np.int64)
+    before[place] = np.append(place[-1], place[:-1])
     return symbol, before, place
 
 

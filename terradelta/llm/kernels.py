@@ -148,3 +148,20 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     first = np.cumsum(counts) - counts
     return np.arange(total, dtype=np.int64) + np.repeat(np.asarray(starts, np.int64) - first, counts)
+
+
+_trim = None
+
+
+def release() -> None:
+    """Gives freed memory back to the system; a worker that serves many groups else keeps the largest one's."""
+    global _trim
+    if _trim is None:
+        import ctypes
+
+        try:
+            _trim = ctypes.CDLL(None).malloc_trim
+        except (OSError, AttributeError):  # not glibc
+            _trim = lambda _: 0
+    pa.default_memory_pool().release_unused()
+    _trim(0)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_bounds, parts_for, range_of
-from .kernels import U64, RunHash, ranges, slices, sliding_min, utf8, word_hashes
+from .kernels import U64, RunHash, ranges, release, slices, sliding_min, utf8, word_hashes
 
 LAST = np.iinfo(np.int64).max
 LOW = U64((1 << 26) - 1)
@@ -158,10 +158,10 @@ class Unit:
     def covered(self, codes: np.ndarray, bits: np.ndarray) -> np.ndarray:
         """One boolean a unit: covered by a window that is to go."""
         w = self.window_flags(codes, bits)
-        step = np.zeros(len(self.units) + 1, np.int64)
+        step = np.zeros(len(self.units) + 1, np.int32)
         np.add.at(step, w[:, 0], 1)
         np.add.at(step, w[:, 0] + w[:, 1] + self.spec.window - 1, -1)
-        return np.cumsum(step[:-1]) > 0
+        return np.cumsum(step[:-1], dtype=np.int32) > 0
 
 
 def _rows(names: list[str], kinds: list[pa.DataType], rows: list[tuple]) -> pa.Table:
@@ -179,23 +179,36 @@ def _answers(rows: pa.Table, kind: int, dtype) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0, dtype)
 
 
+def released(f: Callable) -> Callable:
+    """f, after which a worker gives freed memory back."""
+
+    def run(*tables: pa.Table) -> pa.Table:
+        out = f(*tables)
+        release()
+        return out
+
+    return (lambda left, right: run(left, right)) if f.__code__.co_argcount == 2 else lambda rows: run(rows)
+
+
 def repeated_windows(
     docs: DataFrame, spec: Spec, resolve: Callable, finish: Callable[[Unit, np.ndarray], pa.Table], result: str, parts: int | None = None
 ) -> DataFrame:
     """docs has doc_id and text.  ``resolve(segments)`` is the index a bucket builds, see the operators;
     ``finish(unit, covered)`` makes the result's rows of a unit, of schema ``result``."""
-    parts = parts or parts_for(docs)
+    parts = parts or parts_for(docs, 3 << 20)
     key = F.coalesce(F.col("doc_id"), F.lit(int(LAST)))
     bounds = id_bounds(docs.select(key.alias("key")), "key", parts)
     rows = docs.select("doc_id", "text", key.alias("key")).withColumn("unit", range_of(F.col("key"), bounds).cast("int"))
-    buckets, few = parts, max(1, parts // 4)
+    buckets, few = parts, parts if spec.kind == "byte" else max(1, parts // 2)
     i4, i8, b8 = pa.int32(), pa.int64(), pa.binary()
 
+    @released
     def send(table: pa.Table) -> pa.Table:
         u = Unit(table, spec, buckets)
         unit = table["unit"][0].as_py()
         return _rows(["bucket", "unit", "body", "more"], [i4, i4, b8, b8], [(k, unit, u.key1[x].tobytes(), u.key2[x].tobytes()) for k, x in u.by_bucket(np.arange(len(u.key1)))])
 
+    @released
     def judge(table: pa.Table) -> pa.Table:
         table = table.sort_by("unit")
         k1s, k2s, units = _bytes(table["body"], U64), _bytes(table["more"], np.uint32), table["unit"].to_numpy()
@@ -217,6 +230,7 @@ def repeated_windows(
         bucket = table["bucket"][0].as_py()
         return _rows(["unit", "kind", "bucket", "body"], [i4, i4, i4, b8], [(int(u), 1, bucket, out[cuts[i] : cuts[i + 1]].tobytes()) for i, u in enumerate(units)])
 
+    @released
     def ship(table: pa.Table, answers: pa.Table) -> pa.Table:
         names, kinds = ["few", "unit", "bucket", "head", "length", "least", "times", "content"], [i4, i4, i4, b8, b8, b8, b8, b8]
         if not table.num_rows:
@@ -231,6 +245,7 @@ def repeated_windows(
             out.append((k * few // buckets, table["unit"][0].as_py(), k, (u.key1[x] >> U64(24)).tobytes(), length.astype(np.int32).tobytes(), u.least[x].tobytes(), np.minimum(u.times[x], 2).astype(np.int8).tobytes(), body.tobytes()))
         return _rows(names, kinds, out)
 
+    @released
     def index(table: pa.Table) -> pa.Table:
         table = table.sort_by([("unit", "ascending"), ("bucket", "ascending")])
         cols = {n: _bytes(table[n], d) for n, d in (("length", np.int32), ("least", np.int64), ("times", np.int8), ("content", np.uint8 if spec.kind == "byte" else U64))}
@@ -242,6 +257,7 @@ def repeated_windows(
             at += n
         return _rows(["unit", "kind", "bucket", "body"], [i4, i4, i4, b8], out)
 
+    @released
     def apply(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return finish(None, None)

@@ -50,8 +50,10 @@ def shard_transform(content: np.ndarray, length: np.ndarray) -> tuple[np.ndarray
     eight = (text[:-1] << U64(8)) | text[1:]
     eight = (eight[:-2] << U64(16)) | eight[2:]
     eight = (eight[:-4] << U64(32)) | eight[4:]
+    text = text.astype(np.uint8)
     order = np.argsort(eight[:n])
     k = eight[order]
+    del eight
     rank = np.empty(n, np.int64)
     rank[order] = np.cumsum(np.append(False, k[1:] != k[:-1]))
     second = np.zeros(n, np.int64)
@@ -60,7 +62,7 @@ def shard_transform(content: np.ndarray, length: np.ndarray) -> tuple[np.ndarray
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
     symbol = np.empty(n, np.uint8)
-    symbol[place] = np.append(0, text[: n - 1])
+    symbol[place] = np.append(np.uint8(0), text[: n - 1])
     before = np.empty(n, np.int64)
     before[place] = np.append(place[-1], place[:-1])
     return symbol, before, place
@@ -125,7 +127,7 @@ def spans_and_kept(unit: Unit | None, covered: np.ndarray | None) -> pa.Table:
         pa.array(np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(start - at[owner]), pa.array(end - at[owner])], fields=list(span))
     )
     left = unit.data[~covered]
-    kept_at = np.concatenate([[0], np.cumsum(~covered)])[at]
+    kept_at = np.concatenate([np.zeros(1, np.int32), np.cumsum(~covered, dtype=np.int32)])[at]
     kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(kept_at.astype(np.int64).tobytes()), pa.py_buffer(left.tobytes())]).cast(pa.binary())
     return pa.table([unit.rows["doc_id"].combine_chunks(), pa.array(np.diff(at)), spans, kept], names=[k for k, _ in kinds])
 

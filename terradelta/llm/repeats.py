@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_bounds, parts_for, range_of
-from .kernels import U64, RunHash, ranges, release, slices, sliding_min, utf8, word_hashes
+from .kernels import U64, RunHash, mix, ranges, release, slices, sliding_min, utf8, word_hashes
 
 LAST = np.iinfo(np.int64).max
 LOW = U64((1 << 26) - 1)
@@ -74,7 +74,8 @@ def runs_of(units: np.ndarray, at: np.ndarray, window: int, gram: int) -> tuple[
         new |= opens[p]
     f = np.flatnonzero(new)
     first, count = p[f], np.diff(np.append(f, len(p)))
-    return first, count, gram_hash[a[f]], hashes.of(first, first + count + window - 1)
+    # anchors are least hashes, so their own values would crowd the first buckets
+    return first, count, mix(gram_hash[a[f]]), hashes.of(first, first + count + window - 1)
 
 
 class Unit:

@@ -35,7 +35,9 @@ HIDDEN = 8
 WIDTH = 6
 BUCKETS = 1 << 14
 ODDS = 1 << 16
-SAMPLE = 1500
+SAMPLE = 1000
+#: Texts worked on at a time while fitting.
+BLOCK = 50
 THRESHOLD = 0.3
 EPOCHS = 4
 #: Steps of training at least, however few the windows.
@@ -222,19 +224,28 @@ class Network:
         c1, c0 = (np.bincount(w, y[d] == k, minlength=len(text.hash)) for k in (1, 0))
         self.odds_hash, self.odds_word = text.hash, log_odds(c1, c0, n1, n0)
         bucket = (text.gram % U64(ODDS)).astype(np.int64)
-        many = np.diff(text.gram_at)[w]
-        seen = np.unique(np.repeat(d, many) * np.int64(ODDS) + bucket[ranges(text.gram_at[w], many)])
-        gd, gb = np.divmod(seen, ODDS)
-        g1, g0 = (np.bincount(gb, y[gd] == k, minlength=ODDS) for k in (1, 0))
+        own1 = y[d] == 1
+        # (text, gram) pairs are many times the (text, word) pairs: they are worked on some texts at a time
+        blocks = np.searchsorted(d, np.arange(0, len(fit) + BLOCK, BLOCK))
+        blocks = [slice(i, j) for i, j in zip(blocks, blocks[1:]) if j > i]
+        sizes = np.diff(text.gram_at)
+        spread = lambda rows: (bucket[ranges(text.gram_at[w[rows]], sizes[w[rows]])], sizes[w[rows]])
+        g1, g0 = np.zeros(ODDS, np.int64), np.zeros(ODDS, np.int64)
+        for rows in blocks:
+            gi, many = spread(rows)
+            gd, gb = np.divmod(np.unique(np.repeat(d[rows], many) * np.int64(ODDS) + gi), ODDS)
+            g1 += np.bincount(gb[y[gd] == 1], minlength=ODDS)
+            g0 += np.bincount(gb[y[gd] == 0], minlength=ODDS)
         self.odds_gram = log_odds(g1, g0, n1, n0)
         # per (text, word): the log odds without the text itself
-        own1 = y[d] == 1
-        word_odds = log_odds(c1[w] - own1, c0[w] - ~own1, n1 - own1, n0 - ~own1)
-        gi = bucket[ranges(text.gram_at[w], many)]
-        mine = np.repeat(own1, many)
-        g = log_odds(g1[gi] - mine, g0[gi] - ~mine, n1 - mine, n0 - ~mine)
-        edge = np.cumsum(many) - many
-        pair_odds = np.stack([word_odds, np.maximum.reduceat(g, edge), np.add.reduceat(g, edge) / many], 1).astype(np.float32) if len(w) else np.zeros((0, 3), np.float32)
+        pair_odds = np.zeros((len(w), 3), np.float32)
+        pair_odds[:, 0] = log_odds(c1[w] - own1, c0[w] - ~own1, n1 - own1, n0 - ~own1)
+        for rows in blocks:
+            gi, many = spread(rows)
+            mine = np.repeat(own1[rows], many)
+            g = log_odds(g1[gi] - mine, g0[gi] - ~mine, n1 - mine, n0 - ~mine)
+            edge = np.cumsum(many) - many
+            pair_odds[rows, 1], pair_odds[rows, 2] = np.maximum.reduceat(g, edge), np.add.reduceat(g, edge) / many
         odds = pair_odds[np.searchsorted(pairs, doc_of * np.int64(len(text.hash)) + text.word)]
         # a text's label is about one window of it: the one with most evidence; clean texts also give any one
         doc, first, n = text.windows()
@@ -249,7 +260,7 @@ class Network:
             for batch in np.array_split(r.permutation(chosen), max(1, len(chosen) // size)):
                 self.train(text, odds, first[batch], n[batch], y[doc[batch]].astype(np.float32))
         cal = np.flatnonzero(part) if part.any() else fit
-        x = np.concatenate([self.highest(Text(pa.array([texts[i] for i in c], pa.large_string()))) for c in np.array_split(cal, max(1, len(cal) // 200))]).astype(float)
+        x = np.concatenate([self.highest(Text(pa.array([texts[i] for i in c], pa.large_string()))) for c in np.array_split(cal, max(1, len(cal) // BLOCK))]).astype(float)
         self.calibrate(x, labels[cal], share)
 
     def calibrate(self, x, y, share):

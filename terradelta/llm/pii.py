@@ -210,9 +210,13 @@ def fit_field(docs: DataFrame, sample: int = SAMPLE) -> Field:
     rows = with_columns_of(docs, "doc_id", "text")
     # the patterns' signs, so that the sample isn't spent on texts without a candidate
     some = rows.where(F.col("text").rlike(r"@[A-Za-z0-9-]+\.|[0-9]{7}|\+[0-9]|[0-9]\.[0-9]+\.[0-9]"))
-    got = some.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id", F.length("text")).limit(sample).select("doc_id", "text")
+    # ids first: a sort that carries texts would bring a sample's worth from each partition to one task
+    ids = some.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(sample).collect()
     field = Field()
-    field.fit([Tokens(r["text"], base_spans(r["text"])) for r in got.toLocalIterator()])
+    if ids:
+        chosen = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in {r["doc_id"] for r in ids}], "doc_id long"))
+        got = sorted((r["doc_id"], r["text"] or "") for r in rows.join(chosen, "doc_id", "left_semi").toLocalIterator())
+        field.fit([Tokens(t, base_spans(t)) for _, t in got])
     return field
 
 

@@ -11,7 +11,7 @@ from ..config import Routing, Severity, Tagging
 def tag_flags(t: Tagging = Tagging(), policy: str = "high_res_rgb", alignment: str = "pass", shift: float = 0.0) -> dict[str, Column]:
     """The tags' conditions over compactness, area, elongation, width, edge, nodata, iou, d_veg, d_built, d_lum, in order of precedence."""
     c = F.col
-    built = (c("d_built") > t.built_rise_threshold) | (c("d_lum") > t.brightness_rise_threshold)
+    built = F.coalesce(c("d_built") > t.built_rise_threshold, F.lit(False)) | F.coalesce(c("d_lum") > t.brightness_rise_threshold, F.lit(False))  # an index that isn't there shows no rise
     diffuse = (c("compactness") < t.max_compactness_diffuse) | (c("area") >= t.fluctuation_min_area_m2)
     fluctuation = (F.abs("d_veg") >= t.veg_drop_threshold) & diffuse & ~built
     thin = (c("elongation") >= t.misregistration_min_elongation) & (c("edge") >= t.misregistration_edge_threshold) & (c("width") <= (shift + 1) * t.misregistration_width_factor_px)

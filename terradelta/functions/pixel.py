@@ -92,7 +92,7 @@ def to_pixel(x, y, affine: tuple) -> tuple[Column, Column]:
 
 
 def heat_rgba(s) -> list[Column]:
-    """Transparent through yellow to red."""
+    """Red, green, blue and alpha of a score: blue to red, clear up to 0.1."""
     s = clip(col(s), 0.0, 1.0)
-    byte = lambda x: F.floor(clip(x, 0.0, 1.0) * 255).cast("int")
-    return [byte(s * 2), byte(2 - s * 2), F.lit(0), byte(s)]
+    byte = lambda x, top=255: F.floor(clip(x, 0.0, 1.0) * top).cast("int")
+    return [byte((s - 0.2) / 0.8), byte(1 - F.abs(s - 0.5) * 2, 220), byte((0.6 - s) / 0.6), F.when(s > 0.1, byte(clip(s, 0.2, 0.8))).otherwise(0)]

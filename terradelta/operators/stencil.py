@@ -94,16 +94,39 @@ def closing(pixels: DataFrame, radius: int, grid: DataFrame) -> DataFrame:
     return pixels if radius <= 0 else erode(dilate(pixels, radius, grid), radius)
 
 
+def _spline_taps(t: float) -> list[tuple[int, float]]:
+    """Weights of the cubic B-spline coefficients at -1, 0, 1, 2 for a place t after 0."""
+    return [(-1, (1 - t) ** 3 / 6), (0, (4 - 6 * t * t + 3 * t**3) / 6), (1, (1 + 3 * t + 3 * t * t - 3 * t**3) / 6), (2, t**3 / 6)]
+
+
+def _spline_coefficients(df: DataFrame, values: list[str], reach: int = 12) -> DataFrame:
+    """Cubic B-spline coefficients along both axes: the inverse filter falls by 0.27 a pixel, so 12 to each side leave 1e-7.  Null (invalid) counts as 0."""
+    pole = math.sqrt(3) - 2
+    w = [-6 * pole / (1 - pole * pole) * pole ** abs(i) for i in range(-reach, reach + 1)]
+    x = df.crossJoin(F.broadcast(_extent(df)))
+    for v in values:
+        x = x.withColumn(f"_null_{v}", F.col(v).isNull()).withColumn(v, F.coalesce(v, F.lit(0.0)))
+        for axis in ("row", "col"):
+            x = along(x, axis, v, w, "_c").drop(v).withColumnRenamed("_c", v)
+        x = x.withColumn(v, F.when(~F.col(f"_null_{v}"), F.col(v)))
+    return x.select(*df.columns)
+
+
 def shifted(df: DataFrame, values: list[str], d_row: float, d_col: float, method: str = "nearest") -> DataFrame:
     """out(i) = in(i - shift); a pixel whose source lies beyond the extent is null.  Taps are integer moves and one aggregate."""
     size = F.broadcast(_extent(df))
+    if method == "cubic":
+        df = _spline_coefficients(df, values)
     if method == "nearest":
         taps = [(math.floor(d_row + 0.5), math.floor(d_col + 0.5), 1.0)]
     else:
         r, c = math.floor(d_row), math.floor(d_col)
         fr, fc = d_row - r, d_col - c
-        taps = [(r + i, c + j, wr * wc) for i, wr in ((0, 1 - fr), (1, fr)) for j, wc in ((0, 1 - fc), (1, fc)) if wr * wc > 0]
+        if method == "cubic":
+            taps = [(r + 1 - m, c + 1 - n, wr * wc) for m, wr in _spline_taps(1 - fr) for n, wc in _spline_taps(1 - fc) if wr * wc > 0]
+        else:
+            taps = [(r + i, c + j, wr * wc) for i, wr in ((0, 1 - fr), (1, fr)) for j, wc in ((0, 1 - fc), (1, fc)) if wr * wc > 0]
     tap = F.explode(F.array(*[F.struct(F.lit(i).alias("r"), F.lit(j).alias("c"), F.lit(w).alias("w")) for i, j, w in taps]))
     moved = df.select("row", "col", *values, tap.alias("t")).select((F.col("row") + F.col("t.r")).alias("row"), (F.col("col") + F.col("t.c")).alias("col"), *[(F.col(v) * F.col("t.w")).alias(v) for v in values])
-    total = moved.groupBy("row", "col").agg(F.count(F.lit(1)).alias("n"), *[F.sum(v).alias(v) for v in values]).where(F.col("n") == len(taps)).drop("n")
+    total = moved.groupBy("row", "col").agg(F.count(F.lit(1)).alias("n"), *[F.when(F.count(v) == len(taps), F.sum(v)).alias(v) for v in values]).where(F.col("n") == len(taps)).drop("n")
     return df.select("row", "col").join(total, ["row", "col"], "left").crossJoin(size).select("row", "col", *[F.round(v, 6).alias(v) for v in values])

@@ -193,10 +193,10 @@ def contrast_stretch(spark, sf_dir):
     return px.crossJoin(F.broadcast(cut)).select("row", "col", *[F.round(P.clip((F.col(c) - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-9)), 0.0, 1.0), 6).alias(c) for c in ("b1", "a1")])
 
 
-@query(f"WITH {SCENE} SELECT row, col, CAST(floor(greatest(0.0, least(1.0, score * 2)) * 255) AS INT) r, CAST(floor(greatest(0.0, least(1.0, 2 - score * 2)) * 255) AS INT) g, CAST(floor(greatest(0.0, least(1.0, score)) * 255) AS INT) alpha FROM scores")
+@query(f"WITH {SCENE} SELECT row, col, CAST(floor(greatest(0.0, least(1.0, (score - 0.2) / 0.8)) * 255) AS INT) r, CAST(floor(greatest(0.0, 1 - abs(score - 0.5) * 2) * 220) AS INT) g, CAST(floor(greatest(0.0, least(1.0, (0.6 - score) / 0.6)) * 255) AS INT) b, CAST(CASE WHEN score > 0.1 THEN floor(greatest(0.2, least(0.8, score)) * 255) ELSE 0 END AS INT) alpha FROM scores")
 def heatmap_rgba(spark, sf_dir):
-    r, g, _, a = P.heat_rgba("score")
-    return scores(spark, sf_dir).select("row", "col", r.alias("r"), g.alias("g"), a.alias("alpha"))
+    names = ("r", "g", "b", "alpha")
+    return scores(spark, sf_dir).select("row", "col", *[c.alias(n) for c, n in zip(P.heat_rgba("score"), names)])
 
 
 @query(f"WITH {SCENE} SELECT CAST(row // 3 AS INT) AS row, CAST(col // 3 AS INT) AS col, count(*) AS n, round(avg(score), 6) AS score FROM scores GROUP BY 1, 2")
@@ -408,14 +408,19 @@ _REGION = (
     SHAPES
     + f""",
 delta AS (SELECT row, col, score, {_DELTA_SQL}, (0.2989 * a1 + 0.5870 * a2 + 0.1140 * a3) - (0.2989 * b1 + 0.5870 * b2 + 0.1140 * b3) AS d_lum FROM scores),
-facts AS (SELECT label, round(avg(score), 6) AS confidence, round(avg(d_ndvi), 6) AS d_veg, round(avg(d_ndbi), 6) AS d_built, round(avg(d_lum), 6) AS d_lum FROM kept JOIN delta USING (row, col) GROUP BY 1),
+facts AS (SELECT label, round(avg(score), 4) AS change_magnitude, round(avg(greatest(0.0, least(1.0, (score - threshold) / greatest(1 - threshold, 1e-6)))), 4) AS confidence, round(avg(d_ndvi), 6) AS d_veg, round(avg(d_ndbi), 6) AS d_built, round(avg(d_lum), 6) AS d_lum FROM (SELECT label, row, col FROM kept) JOIN delta USING (row, col), thr GROUP BY 1),
 region AS (SELECT * FROM shapes JOIN facts USING (label))"""
 )
 
 
-@query(f"WITH {_REGION} SELECT label, area, compactness, confidence, d_veg, d_built, d_lum FROM region")
+def _region_table(spark, sf_dir):
+    limit = detect.threshold(scores(spark, sf_dir), "percentile", 0.8)
+    return change.region_table(pair(spark, sf_dir), kept(spark, sf_dir), _deltas, limit)
+
+
+@query(f"WITH {_REGION} SELECT label, area, compactness, change_magnitude, confidence, d_veg, d_built, d_lum FROM region")
 def region_attributes(spark, sf_dir):
-    return change.region_table(pair(spark, sf_dir), kept(spark, sf_dir), _deltas).select("label", "area", "compactness", "confidence", "d_veg", "d_built", "d_lum")
+    return _region_table(spark, sf_dir).select("label", "area", "compactness", "change_magnitude", "confidence", "d_veg", "d_built", "d_lum")
 
 
 _TAGS = """flags AS (SELECT *, (d_built > 0.08 OR d_lum > 0.06) AS built, abs(d_veg) >= 0.15 AND (compactness < 0.40 OR area >= 200) AND NOT (d_built > 0.08 OR d_lum > 0.06) AS fluct FROM region),
@@ -424,7 +429,7 @@ tagged AS (SELECT *, list_filter([CASE WHEN d_veg < -0.15 AND (built OR (compact
 
 @query(f"WITH {_REGION}, {_TAGS} SELECT label, CASE WHEN len(found) = 0 THEN 'unknown' ELSE found[1] END AS type_tag, CASE WHEN len(found) = 0 THEN 'unknown' ELSE array_to_string(list_sort(found), ';') END AS tags FROM tagged")
 def tag_regions(spark, sf_dir):
-    return rules.tag(change.region_table(pair(spark, sf_dir), kept(spark, sf_dir), _deltas)).select("label", "type_tag", "tags")
+    return rules.tag(_region_table(spark, sf_dir)).select("label", "type_tag", "tags")
 
 
 CASES = "(VALUES (1, 50.0, 0.4), (2, 250.0, 0.55), (3, 600.0, 0.65), (4, 1500.0, 0.9), (5, 500.0, 0.6), (6, 100.0, 0.5), (7, 2000.0, 0.3), (8, 1000.0, 0.85), (9, 200.0, 0.75), (10, 99.9, 0.99)) t(id, area, confidence)"
@@ -536,6 +541,6 @@ _FULL_TIER = "CASE WHEN confidence >= 0.6 AND area >= 500 THEN 'Critical' WHEN c
 )
 def full_pipeline(spark, sf_dir):
     """Scores, mask, components, least area, attributes, tags, severity and ids of the lineitem scene."""
-    table = change.region_table(pair(spark, sf_dir), kept(spark, sf_dir), _deltas)
+    table = _region_table(spark, sf_dir)
     out = rules.review(rules.severity(rules.tag(table)))
     return regions.change_ids(out).select("change_id", "label", "pixel_count", "area", "confidence", "compactness", "type_tag", "severity_tier")

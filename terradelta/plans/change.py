@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -36,31 +37,63 @@ def bbox_overlap(one: list[Column], two: list[Column]) -> Column:
     return F.try_divide(width * height, F.least(area(one), area(two)))
 
 
-def region_table(pair: DataFrame, labels: DataFrame, deltas: Callable[[DataFrame], DataFrame], pixel: float = 0.5) -> DataFrame:
-    """Shape and mean evidence of every region, with what the tag rules need."""
+def region_table(pair: DataFrame, labels: DataFrame, deltas: Callable[[DataFrame], DataFrame], threshold: DataFrame, pixel: float = 0.5, scored: DataFrame | None = None) -> DataFrame:
+    """Shape and mean evidence of every region, with what the tag rules need.
+
+    change_magnitude is the mean score, confidence the mean margin above the threshold (one row)."""
     lum = P.luminance(*detect.AFTER) - P.luminance(*detect.BEFORE)
-    facts = deltas(detect.rms_scores(pair)).withColumn("d_lum", lum)
-    means = labels.join(facts, ["row", "col"]).groupBy("label").agg(
-        F.round(F.avg("score"), 6).alias("confidence"), F.round(F.avg("d_ndvi"), 6).alias("d_veg"), F.round(F.avg("d_ndbi"), 6).alias("d_built"), F.round(F.avg("d_lum"), 6).alias("d_lum"), F.avg((~F.col("valid")).cast("double")).alias("nodata")
+    rgb = P.rms(detect.BEFORE, detect.AFTER)
+    facts = deltas(scored if scored is not None else detect.rms_scores(pair)).withColumn("d_lum", lum).withColumn("chroma", rgb).drop("threshold")
+    limit = threshold.select(F.col("threshold").alias("_t"))
+    means = labels.select("label", "row", "col").join(facts, ["row", "col"]).crossJoin(F.broadcast(limit)).groupBy("label").agg(
+        F.round(F.avg("score"), 4).alias("change_magnitude"),
+        F.round(F.avg(P.margin("score", "_t")), 4).alias("confidence"),
+        *[F.round(F.avg(c), 6).alias(n) for c, n in (("d_ndvi", "d_veg"), ("d_ndbi", "d_built"), ("d_lum", "d_lum"), ("chroma", "chroma"))],
+        F.avg((~F.col("valid")).cast("double")).alias("nodata"),
     )
     none = F.lit(None).cast("double")
     return regions.shapes(labels, pixel).join(means, "label").withColumns({"elongation": none, "edge": none, "width": none, "iou": none})
 
 
-def change_report(pair: DataFrame, config: Config = Config(), pixel: float = 0.5) -> DataFrame:
-    """Smoothing, Otsu's threshold, opening and closing, components, least area, attributes, tags, severity, review, ids."""
-    scored = stencil.smooth(detect.rms_scores(pair), config.detection.smoothing_sigma_px)
-    marked = detect.change_mask(scored, config.detection.threshold_method, config.detection.percentile / 100 if config.detection.threshold_method == "percentile" else config.detection.fixed_threshold)
-    pixels = marked.where("mask").select("row", "col")
-    pixels = stencil.closing(stencil.opening(pixels, config.cleaning.opening_radius_px, pair), config.cleaning.closing_radius_px, pair)
-    pixels = pixels.join(pair.where("valid"), ["row", "col"], "left_semi")
-    least = max(1, -(-config.cleaning.min_mapping_unit_m2 // (pixel * pixel)))
-    labels = regions.keep_large(regions.components(pixels, config.cleaning.connectivity), int(least))
+def rgb_deltas(df: DataFrame) -> DataFrame:
+    """Excess green in place of the vegetation index; no built-up index."""
     side = lambda s: {"red": f"{s}1", "green": f"{s}2", "blue": f"{s}3"}
     exg = P.spectral_index("exg", side("a"))[0] - P.spectral_index("exg", side("b"))[0]
-    table = region_table(pair, labels, lambda df: df.withColumn("d_ndvi", exg).withColumn("d_ndbi", F.lit(None).cast("double")), pixel)
-    boxes = regions.rectangles(labels, pixel).select("label", F.col("elongation").alias("e"), F.col("width").alias("w"))
-    edge = labels.join(stencil.sobel(pair.withColumn("lum", F.coalesce(P.luminance(*detect.BEFORE), F.lit(0.0))), "lum"), ["row", "col"]).groupBy("label").agg(F.avg((F.col("gradient") > config.tagging.misregistration_edge_threshold).cast("double")).alias("g"))
-    table = table.join(boxes, "label").join(edge, "label").withColumns({"elongation": F.col("e"), "width": F.col("w"), "edge": F.col("g")}).drop("e", "w", "g")
+    return df.withColumn("d_ndvi", exg).withColumn("d_ndbi", F.lit(None).cast("double"))
+
+
+def marked_scores(pair: DataFrame, config: Config = Config(), scored: DataFrame | None = None) -> DataFrame:
+    """Scores smoothed, with threshold and mask."""
+    d = config.detection
+    if scored is None:
+        matched = {"off": lambda x: x, "mean_std": detect.match_mean_std, "robust": detect.match_robust}[d.radiometric_norm_method](pair)
+        score = detect.rms_scores(matched).select("row", "col", "score")
+        scored = pair.drop("score").join(score, ["row", "col"]) if d.radiometric_norm_method != "off" else detect.rms_scores(pair)
+    return detect.change_mask(stencil.smooth(scored, d.smoothing_sigma_px), d.threshold_method, d.percentile / 100 if d.threshold_method == "percentile" else d.fixed_threshold)
+
+
+def clean_labels(marked: DataFrame, config: Config = Config(), pixel_area: float = 0.25) -> tuple[DataFrame, DataFrame]:
+    """All components of the opened and closed mask, and those of at least the least area."""
+    c = config.cleaning
+    pixels = marked.where("mask").select("row", "col")
+    pixels = stencil.closing(stencil.opening(pixels, c.opening_radius_px, marked), c.closing_radius_px, marked)
+    pixels = pixels.join(marked.where("valid"), ["row", "col"], "left_semi")
+    every = regions.components(pixels, c.connectivity)
+    return every, regions.keep_large(every, max(1, math.ceil(c.min_mapping_unit_m2 / pixel_area)))
+
+
+def with_evidence(table: DataFrame, labels: DataFrame, pair: DataFrame, config: Config = Config(), pixel: float = 0.5) -> DataFrame:
+    """Adds width, length, extent, elongation and the share of edge pixels of the before scene."""
+    boxes = regions.rectangles(labels, pixel)
+    edges = stencil.sobel(pair.withColumn("lum", F.coalesce(P.luminance(*detect.BEFORE), F.lit(0.0))), "lum")
+    edge = labels.select("label", "row", "col").join(edges, ["row", "col"]).groupBy("label").agg(F.avg((F.col("gradient") > config.tagging.misregistration_edge_threshold).cast("double")).alias("edge"))
+    return table.drop("elongation", "width", "edge").join(boxes, "label").join(edge, "label")
+
+
+def change_report(pair: DataFrame, config: Config = Config(), pixel: float = 0.5) -> DataFrame:
+    """Smoothing, threshold, opening and closing, components, least area, attributes, tags, severity, review, ids."""
+    marked = marked_scores(pair, config)
+    _, labels = clean_labels(marked, config, pixel * pixel)
+    table = with_evidence(region_table(pair, labels, rgb_deltas, marked.select("threshold").limit(1), pixel, marked.drop("threshold", "mask")), labels, pair, config, pixel)
     out = rules.review(rules.severity(rules.tag(table, config.tagging), config.severity))
-    return regions.change_ids(out).select("change_id", "label", "pixel_count", "area", "confidence", "compactness", "elongation", "type_tag", "tags", "base_severity", "severity_tier", "review_reasons", "quality_flag")
+    return regions.change_ids(out).select("change_id", "label", "pixel_count", "area", "change_magnitude", "confidence", "compactness", "elongation", "type_tag", "tags", "base_severity", "severity_tier", "review_reasons", "quality_flag")

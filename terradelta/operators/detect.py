@@ -11,9 +11,19 @@ from ..functions import pixel as P
 BEFORE, AFTER = ["b1", "b2", "b3"], ["a1", "a2", "a3"]
 
 
-def rms_scores(pair: DataFrame) -> DataFrame:
-    """row, col, valid, score: rounded, so that comparisons with a threshold don't depend on summation order."""
-    return pair.withColumn("score", F.when(F.col("valid"), F.round(P.rms(BEFORE, AFTER), 6)).otherwise(0.0))
+def rms_scores(pair: DataFrame, bands: int = 3) -> DataFrame:
+    """Adds score, over the first bands: rounded, so that comparisons with a threshold don't depend on summation order."""
+    return pair.withColumn("score", F.when(F.col("valid"), F.round(P.rms(BEFORE[:bands], AFTER[:bands]), 6)).otherwise(0.0))
+
+
+def spectral_scores(pair: DataFrame, band_map: dict[str, int]) -> tuple[DataFrame, list[str]]:
+    """Adds d_<index> of every index the band map (name -> number) supports and score, the root mean square of their halves; and the indices."""
+    side = lambda s: {name: f"{s}{i}" for name, i in band_map.items()}
+    have = [n for n in ("ndvi", "ndbi", "mndwi", "exg") if P.spectral_index(n, side("b"))[0] is not None]
+    if not have:
+        raise ValueError(f"bands {sorted(band_map)} support no spectral index")
+    out = pair.withColumns({f"d_{n}": F.when(F.col("valid"), P.spectral_index(n, side("a"))[0] - P.spectral_index(n, side("b"))[0]).otherwise(0.0) for n in have})
+    return out.withColumn("score", F.when(F.col("valid"), F.round(P.index_rms([f"d_{n}" for n in have]), 6)).otherwise(0.0)), have
 
 
 def match_mean_std(pair: DataFrame) -> DataFrame:

@@ -62,13 +62,13 @@ def rgb_deltas(df: DataFrame) -> DataFrame:
     return df.withColumn("d_ndvi", exg).withColumn("d_ndbi", F.lit(None).cast("double"))
 
 
-def marked_scores(pair: DataFrame, config: Config = Config(), scored: DataFrame | None = None) -> DataFrame:
+def marked_scores(pair: DataFrame, config: Config = Config(), scored: DataFrame | None = None, bands: int = 3) -> DataFrame:
     """Scores smoothed, with threshold and mask."""
     d = config.detection
     if scored is None:
         matched = {"off": lambda x: x, "mean_std": detect.match_mean_std, "robust": detect.match_robust}[d.radiometric_norm_method](pair)
-        score = detect.rms_scores(matched).select("row", "col", "score")
-        scored = pair.drop("score").join(score, ["row", "col"]) if d.radiometric_norm_method != "off" else detect.rms_scores(pair)
+        score = detect.rms_scores(matched, bands).select("row", "col", "score")
+        scored = pair.drop("score").join(score, ["row", "col"]) if d.radiometric_norm_method != "off" else detect.rms_scores(pair, bands)
     return detect.change_mask(stencil.smooth(scored, d.smoothing_sigma_px), d.threshold_method, d.percentile / 100 if d.threshold_method == "percentile" else d.fixed_threshold)
 
 

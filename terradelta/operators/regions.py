@@ -104,14 +104,23 @@ def shapes(labels: DataFrame, pixel: float = 0.5) -> DataFrame:
     return out.withColumn("compactness", F.round(P.clip(4 * math.pi * F.col("area") / F.pow("perimeter", 2), 0.0, 1.0), 4))
 
 
+#: The directed side of a cell, its cell to the right, by name: corner offsets from and to.
+SIDES = {"N": ((0, 0), (0, 1)), "E": ((0, 1), (1, 1)), "S": ((1, 1), (1, 0)), "W": ((1, 0), (0, 0))}
+
+
 def trace(cells: np.ndarray) -> list[list[tuple[int, int]]]:
-    """Closed rings of corner points around (row, col) cells; where cells meet at a corner only, rings turn so as not to cross."""
+    """Closed rings of corner points around (row, col) cells."""
     here = set(map(tuple, cells.tolist()))
+    steps = {"N": (-1, 0), "E": (0, 1), "S": (1, 0), "W": (0, -1)}
+    return trace_sides([(r, c, s) for r, c in here for s, (dr, dc) in steps.items() if (r + dr, c + dc) not in here])
+
+
+def trace_sides(sides: list[tuple[int, int, str]]) -> list[list[tuple[int, int]]]:
+    """Rings from the exposed sides (row, col, side) of cells; where cells meet at a corner only, rings turn so as not to cross."""
     go: dict[tuple, list] = {}
-    for r, c in here:
-        for a, b, n in (((r, c), (r, c + 1), (r - 1, c)), ((r, c + 1), (r + 1, c + 1), (r, c + 1)), ((r + 1, c + 1), (r + 1, c), (r + 1, c)), ((r + 1, c), (r, c), (r, c - 1))):
-            if n not in here:
-                go.setdefault(a, []).append(b)
+    for r, c, s in sides:
+        (r0, c0), (r1, c1) = SIDES[s]
+        go.setdefault((r + r0, c + c0), []).append((r + r1, c + c1))
     rings = []
     while go:
         start = min(go)
@@ -138,14 +147,14 @@ def ring_area(ring: list[tuple[int, int]]) -> float:
 
 
 def polygons(labels: DataFrame) -> DataFrame:
-    """label, n_rings, n_holes, n_corners, area_px and rings (row, col corners) of every region."""
+    """label, n_rings, n_holes, n_corners, area_px and rings ([x, y] = [col, row] corners) of every region; only exposed sides reach Python."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rings = trace(pdf[["row", "col"]].to_numpy())
+        rings = trace_sides(list(zip(pdf["row"].tolist(), pdf["col"].tolist(), pdf["side"].tolist())))
         areas = [ring_area(r) for r in rings]
-        return pd.DataFrame({"label": [pdf["label"].iloc[0]], "n_rings": [len(rings)], "n_holes": [sum(a < 0 for a in areas)], "n_corners": [sum(map(len, rings))], "area_px": [float(sum(areas))], "rings": [[[[float(y), float(x)] for y, x in r] for r in rings]]})
+        return pd.DataFrame({"label": [pdf["label"].iloc[0]], "n_rings": [len(rings)], "n_holes": [sum(a < 0 for a in areas)], "n_corners": [sum(map(len, rings))], "area_px": [float(sum(areas))], "rings": [[[[float(x), float(y)] for y, x in r] for r in rings]]})
 
-    return labels.groupBy("label").applyInPandas(run, "label long, n_rings long, n_holes long, n_corners long, area_px double, rings array<array<array<double>>>")
+    return exposed_edges(labels).groupBy("label").applyInPandas(run, "label long, n_rings long, n_holes long, n_corners long, area_px double, rings array<array<array<double>>>")
 
 
 def hull(points: np.ndarray) -> np.ndarray:

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..config import Severity
 from ..functions import pixel as P
-from ..operators import detect, regions, registration, rules, stencil
+from ..functions import projection
+from ..operators import detect, regions, registration, rules, stencil, vectors
 from ..sources import scenes
 from . import change
 
@@ -544,3 +545,71 @@ def full_pipeline(spark, sf_dir):
     table = _region_table(spark, sf_dir)
     out = rules.review(rules.severity(rules.tag(table)))
     return regions.change_ids(out).select("change_id", "label", "pixel_count", "area", "confidence", "compactness", "type_tag", "severity_tier")
+
+
+# polygons and places
+
+
+def world_polygons(spark, sf_dir) -> DataFrame:
+    return regions.polygons(kept(spark, sf_dir)).withColumn("rings", vectors.world_rings("rings", AFFINE))
+
+
+@query(f"WITH {KEPT} SELECT label, count(*) * 0.25 AS area_m2, round(500000 + 0.5 * avg(col + 0.5), 3) AS centroid_x, round(4500000 - 0.5 * avg(row + 0.5), 3) AS centroid_y FROM kept GROUP BY 1")
+def polygon_area(spark, sf_dir):
+    """Area and centroid of the traced rings, which must be those of the pixels."""
+    out = vectors.metric_attributes(world_polygons(spark, sf_dir), 32633)
+    return out.select("label", "area_m2", F.round("centroid_x", 3).alias("centroid_x"), F.round("centroid_y", 3).alias("centroid_y"))
+
+
+@query()
+def simplified_polygons(spark, sf_dir):
+    out = vectors.simplify(world_polygons(spark, sf_dir), 0.25)
+    return out.select("label", "n_corners", F.size(F.flatten("rings")).cast("long").alias("n_kept"), F.round(vectors.area("rings"), 6).alias("area_m2"))
+
+
+_LON, _LAT = "(c_custkey * 37 % 600) / 100.0 + 12", "(c_custkey * 91 % 14000) / 100.0 - 70"
+_XI = "xi" + "".join(f" + {a:.17e} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, a in enumerate(projection.ALPHA, 1))
+_ETA = "eta" + "".join(f" + {a:.17e} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, a in enumerate(projection.ALPHA, 1))
+
+
+@query(
+    f"""WITH p AS (SELECT c_custkey, CAST({_LON} AS DOUBLE) lon, CAST({_LAT} AS DOUBLE) lat FROM customer),
+t AS (SELECT *, sinh(atanh(sin(radians(lat))) - {projection.ECC:.17e} * atanh({projection.ECC:.17e} * sin(radians(lat)))) t, radians(lon - 15) l FROM p),
+e AS (SELECT *, atan2(t, cos(l)) xi, atanh(sin(l) / sqrt(1 + t * t)) eta FROM t)
+SELECT c_custkey, round(500000 + {projection.SCALE * projection.RADIUS:.17e} * ({_ETA}), 3) AS x, round({projection.SCALE * projection.RADIUS:.17e} * ({_XI}), 3) AS y, round(lon, 6) AS lon, round(lat, 6) AS lat FROM e"""
+)
+def utm_roundtrip(spark, sf_dir):
+    at = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey", f"CAST({_LON} AS double) lon", f"CAST({_LAT} AS double) lat")
+    x, y = projection.from_geographic("lon", "lat", 32633)
+    out = at.select("c_custkey", x.alias("x"), y.alias("y"))
+    lon, lat = projection.to_geographic("x", "y", 32633)
+    return out.select("c_custkey", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"))
+
+
+@query("SELECT s_suppkey, c_custkey FROM supplier, customer WHERE abs((c_custkey * 37 % 1000) - (s_suppkey * 53 % 1000)) <= 7 AND abs((c_custkey * 91 % 997) - (s_suppkey * 17 % 997)) <= 7")
+def spatial_join(spark, sf_dir):
+    """Squares of side 6 around customers that share a point with squares of side 8 around suppliers."""
+
+    def squares(name, key, x, y, half):
+        corner = lambda dx, dy: F.array((F.expr(x) + dx * half).cast("double"), (F.expr(y) + dy * half).cast("double"))
+        return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(key, F.array(F.array(*[corner(*d) for d in ((-1, -1), (1, -1), (1, 1), (-1, 1))])).alias("rings"))
+
+    one = squares("supplier", "s_suppkey", "s_suppkey * 53 % 1000", "s_suppkey * 17 % 997", 4)
+    return vectors.spatial_pairs(one, squares("customer", "c_custkey", "c_custkey * 37 % 1000", "c_custkey * 91 % 997", 3), "s_suppkey", "c_custkey", 16.0)
+
+
+@query(f"WITH {_REGION}, {_TAGS}, f AS (SELECT CASE WHEN len(found) = 0 THEN 'unknown' ELSE found[1] END AS type_tag, {_FULL_TIER} AS severity_tier, area FROM tagged) SELECT coalesce(severity_tier, 'all') AS severity_tier, coalesce(type_tag, 'all') AS type_tag, count(*) AS n, round(sum(area), 4) AS total_area FROM f GROUP BY ROLLUP (severity_tier, type_tag)")
+def tier_report(spark, sf_dir):
+    t = full_pipeline(spark, sf_dir).rollup("severity_tier", "type_tag").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("area"), 4).alias("total_area"))
+    return t.withColumns({c: F.coalesce(c, F.lit("all")) for c in ("severity_tier", "type_tag")})
+
+
+@query()
+def shift_cubic(spark, sf_dir):
+    return stencil.shifted(scores(spark, sf_dir), ["score"], 1.25, -0.5, "cubic")
+
+
+@query()
+def alignment_gate(spark, sf_dir):
+    """The judged windows of a generated pair whose buildings moved by three columns."""
+    return registration.gate_shifts(scenes.synthetic_scene(spark, 256, 3), 256, 256)

@@ -3,11 +3,13 @@
 Markup is stripped to lines, one a block element.  A line's length is its text out of
 links; lines of menus, headers, footers, sidebars, notices, adverts, forms and
 comments count as empty, as do scripts and styles.  Sums over a sliding window of
-``block`` lines give the distribution: text surges where a sum reaches the threshold
-after empty lines, and dives where sums fall to nothing.  All lines between a surge
-and its dive are kept, short ones too.  A line of an article or main element always
-lifts its window over the threshold, and if a page has such lines, a surge without
-one isn't main text.
+``block`` lines give the distribution, which decides on every page: a run of lines
+with text surges where a sum reaches the threshold, and is kept whole.  It dives
+where ``block`` lines in a row have no text of their own; up to there short runs on
+either side are kept with it, and the lines between.  On a page where nothing surges
+the run of the highest sum is kept.  Article and main elements only weigh: their
+lines count ``BONUS`` times, their links as text, and runs within and without them
+are runs of their own that neither surge nor are kept by each other.
 
 Defined cases: null or empty html, or a page with no main text, gives an empty text;
 markup that never closes ends with the page; repeated pages are rows of their own;
@@ -28,6 +30,8 @@ from .common import table, with_columns_of
 #: Lines in a window, and characters that a window needs for a surge.
 BLOCK = 3
 THRESHOLD = 80
+#: What a character in an article or main element counts.
+BONUS = 2
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|select|svg|iframe|object|math|canvas|head|button)(?=[\s/>]).*?(?:</(?P=raw)\s*>|\Z)"
@@ -92,7 +96,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                     skip.pop()
                 elif not m["attrs"].endswith("/"):
                     skip.append(name)
-            if not skip:
+            if not skip and out and out[-1][0]:  # neighbours count as one empty line
                 out.append(("", 0, False))
             continue
         if name in INLINE:
@@ -118,23 +122,26 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
 def main_text(page: str | None, block: int = BLOCK, threshold: int = THRESHOLD) -> str:
     """The lines between surge and dive, joined by one space."""
     lines = lines_of(page or "")
-    has_main = any(inside and text for text, _, inside in lines)
-    # each run of lines between empty ones has its own distribution
-    weight = [max(n, threshold) if inside else n for _, n, inside in lines]
-    sums = [sum(weight[i : i + block]) for i in range(len(weight))]
-    out: list[str] = []
-    i = 0
-    while i < len(lines):
-        if sums[i] < threshold or not weight[i]:
-            i += 1
-            continue
-        j = i
-        while j < len(lines) and weight[j]:  # the dive: the first line without text of its own
-            j += 1
-        if not has_main or any(x[2] for x in lines[i:j]):
-            out += [text for text, _, inside in lines[i:j] if text and (inside or not has_main)]
-        i = max(j, i + 1)
-    return " ".join(out)
+    weight = [n * BONUS if inside else n for _, n, inside in lines]
+    kept: set[int] = set()
+    best, peak = [], 0
+    for side in (True, False):
+        # the lines of one side in stretches that end where a block has no text of its own
+        own = [w if x[2] == side else 0 for w, x in zip(weight, lines)]
+        at = [i for i, w in enumerate(own) if w]
+        first = 0
+        for k, i in enumerate(at):
+            if k + 1 < len(at) and at[k + 1] - i <= block:
+                continue
+            stretch = range(at[first], i + 1)
+            first = k + 1
+            top = max(sum(own[j : j + block]) for j in stretch)
+            here = [j for j in stretch if lines[j][2] == side]
+            if top >= threshold:
+                kept.update(here)
+            if top > peak:
+                best, peak = here, top
+    return " ".join(lines[i][0] for i in (sorted(kept) or best) if lines[i][0])
 
 
 def extract_text(pages: DataFrame) -> DataFrame:

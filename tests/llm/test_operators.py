@@ -311,6 +311,23 @@ def test_html(spark):
     assert got[(2, None)] == got[(3, "u")] == ("", 0)
 
 
+def test_html_distribution_decides_with_and_without_article():
+    long = "A sentence of the body that is certainly long enough to be taken for running text by its length."
+    div = f"<div><p>{long}</p><p>Short.</p><p>{long}</p></div>"
+    body = f"{long} Short. {long}"
+    nav = "<nav><a href='/'>Home</a></nav>"
+    # an article that is only a teaser doesn't take the page from the body
+    assert html_text.main_text(f"{nav}<article><p>Teaser</p></article>{div}") == body
+    assert html_text.main_text(f"{nav}{div}<article><a href='/x'>Next one</a></article><article>More</article>") == body
+    # a short text, with an article and without, is the page's main text
+    assert html_text.main_text(f"{nav}<article><h1>Hi</h1><p>Short.</p></article>") == html_text.main_text(f"{nav}<h1>Hi</h1><p>Short.</p>") == "Hi Short."
+    # short blocks next to a surge, before and after it
+    assert html_text.main_text(f"<p>a.</p><p>b.</p><p>c.</p><p>d.</p>{div}<div class='ad'>Buy</div><p>The end.</p>") == f"a. b. c. d. {body} The end."
+    # short clutter outside doesn't ride on the article, links alone are no text
+    assert html_text.main_text(f"<div>Site</div><article>{div}</article><div>Imprint</div>") == body
+    assert html_text.main_text("<ul><li><a href='/1'>One</a></li><li><a href='/2'>Two</a></li></ul>") == ""
+
+
 # quotations
 
 

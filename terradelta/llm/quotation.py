@@ -2,13 +2,16 @@
 
 A message's lines that begin with ``>`` marks are quotes, nested as deep as the marks.
 Consecutive lines of one depth form a passage.  Passages are normalised (ASCII lower
-case, white space as one space, trimmed) and hashed; so are each message's own body
-and each of its lines.  A passage links to the first earlier message of its
-conversation that says it: the whole body, or one of its lines, or, failing that, the
-first line of the passage alone.  The message at the shallowest linked depth is the
-one replied to.  Messages come
-in reply order: each with the root of its thread, its depth, and a path to sort by.
-
+case, white space as one space, trimmed) and hashed, as are each message's own body,
+its lines, and its runs of lines that aren't empty.  A passage links to the first
+earlier message of its conversation that says it whole: as its body, as a line, or as
+a run of lines.  If none does, the passage's own runs of 1, 2, 4, 8 ... lines are looked
+up, at any place in it, and the one of most characters that an earlier message says
+links to the first that says it.  The message at the shallowest linked depth is the
+one replied to.  Messages come in reply order: each with the root of its thread, its
+depth, and a path to sort by.
+
+Bodies are only hashed in runs of lengths that some passage asks for.
 Links come from hash joins against the least turn of each (conversation, hash), an
 aggregate that combines map-side, so a line that everybody writes costs one row.  The
 threads resolve by pointer doubling, in as many joins as the logarithm of the depth.
@@ -48,6 +51,43 @@ def passage_hash(text: str) -> int | None:
     return int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "big", signed=True) if x else None
 
 
+def line_hashes(text: str) -> list[tuple[int, int]]:
+    """(hash, normalised length) of the lines that aren't empty."""
+    return [(passage_hash(x), len(normalised(x))) for x in text.split("\n") if x.strip()]
+
+
+def run_hash(lines: list[tuple[int, int]]) -> int:
+    """The hash of a run of lines; of one line, its own."""
+    if len(lines) == 1:
+        return lines[0][0]
+    return int.from_bytes(hashlib.blake2b(b"".join([h.to_bytes(8, "big", signed=True) for h, _ in lines]), digest_size=8).digest(), "big", signed=True)
+
+
+def passage_keys(passage: str) -> list[dict]:
+    """What to look a passage up by: each hash with the characters it stands for, the whole passage's being the most."""
+    lines = line_hashes(passage)
+    if not lines:
+        return []
+    size = len(normalised(passage))
+    keys = {passage_hash(passage): size, run_hash(lines): size}
+    step = 1
+    while step < len(lines):
+        for i in range(len(lines) - step + 1):
+            part = lines[i : i + step]
+            keys.setdefault(run_hash(part), sum(n for _, n in part) + step - 1)
+        step *= 2
+    return [{"hash": h, "chars": n} for h, n in keys.items()]
+
+
+def said_hashes(body: str, lengths: list[int]) -> list[int]:
+    """Hashes of a body, its lines, and its runs of the given numbers of lines."""
+    lines = line_hashes(body)
+    own = {passage_hash(body)} - {None}
+    for k in lengths:
+        own.update(run_hash(lines[i : i + k]) for i in range(len(lines) - k + 1))
+    return sorted(own)
+
+
 def parse_message(text: str) -> tuple[str, list[tuple[int, str]]]:
     """The body without quotes, and (depth, passage) of each quoted passage."""
     body, quotes, last = [], [], 0
@@ -67,33 +107,46 @@ def parse_message(text: str) -> tuple[str, list[tuple[int, str]]]:
 
 
 def parse_messages(messages: DataFrame) -> DataFrame:
-    said = "array<bigint>"
-    schema = f"conv_id long, turn long, role string, body string, n_quotes long, said {said}, quoted array<struct<depth:int,whole:bigint,line:bigint>>"
-    kinds = pa.schema(
-        [("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("body", pa.string()), ("n_quotes", pa.int64()), ("said", pa.list_(pa.int64())), ("quoted", pa.list_(pa.struct([("depth", pa.int32()), ("whole", pa.int64()), ("line", pa.int64())])))]
-    )
+    schema = "conv_id long, turn long, role string, body string, n_quotes long, quoted array<struct<depth:int,lines:int,keys:array<struct<hash:bigint,chars:bigint>>>>"
+    keys = pa.list_(pa.struct([("hash", pa.int64()), ("chars", pa.int64())]))
+    kinds = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("body", pa.string()), ("n_quotes", pa.int64()), ("quoted", pa.list_(pa.struct([("depth", pa.int32()), ("lines", pa.int32()), ("keys", keys)])))])
 
     def run(batches):
         for b in batches:
             rows = []
             for conv, turn, role, text in zip(*(c.to_pylist() for c in b.columns)):
                 body, quotes = parse_message(text or "")
-                own = {passage_hash(body), *map(passage_hash, body.split("\n"))} - {None}
-                rows.append({"conv_id": conv, "turn": turn, "role": role, "body": body, "n_quotes": len(quotes), "said": sorted(own), "quoted": [{"depth": d, "whole": passage_hash(q), "line": passage_hash(q.split("\n")[0])} for d, q in quotes]})
+                rows.append({"conv_id": conv, "turn": turn, "role": role, "body": body, "n_quotes": len(quotes), "quoted": [{"depth": d, "lines": len(line_hashes(q)), "keys": passage_keys(q)} for d, q in quotes]})
             yield pa.RecordBatch.from_pylist(rows, schema=kinds)
 
     return with_columns_of(messages, "conv_id", "turn", "role", "text").mapInArrow(run, schema)
 
 
+def said_in(parsed: DataFrame, lengths: list[int]) -> DataFrame:
+    """conv_id, turn, hash of all that the messages say in runs of such lengths."""
+
+    def run(batches):
+        for b in batches:
+            said = [said_hashes(x, lengths) for x in b.column(2).to_pylist()]
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(said, pa.list_(pa.int64()))], names=["conv_id", "turn", "said"])
+
+    rows = parsed.where("conv_id is not null and turn is not null").select("conv_id", "turn", "body")
+    return rows.mapInArrow(run, "conv_id long, turn long, said array<bigint>").select("conv_id", "turn", F.explode("said").alias("hash"))
+
+
 def link_quotations(messages: DataFrame) -> DataFrame:
     parsed = cut(parse_messages(messages))
-    quoted = parsed.select("conv_id", "turn", F.posexplode("quoted").alias("n", "q")).select("conv_id", "turn", "n", "q.depth", F.explode(F.array_distinct(F.array("q.whole", "q.line"))).alias("hash"))
-    quoted = cut(quoted.where("conv_id is not null and turn is not null and hash is not null").distinct())
+    passages = parsed.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.posexplode("quoted").alias("n", "q"))
+    quoted = cut(passages.select("conv_id", "turn", "n", "q.depth", F.explode("q.keys").alias("key")).select("conv_id", "turn", "n", "depth", "key.hash", "key.chars").distinct())
+    # the distinct numbers of lines: few, as all passages together have at least their sum
+    asked = {r["lines"] for r in passages.select("q.lines").where("lines > 0").distinct().collect()}
+    lengths = sorted(asked | {1 << i for i in range(max(asked, default=0).bit_length())})
     # only conversations' passages that somebody quotes are looked up
-    said = parsed.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode("said").alias("hash"))
+    said = said_in(parsed, lengths)
     origin = said.join(quoted.select("conv_id", "hash").distinct(), ["conv_id", "hash"], "left_semi").groupBy("conv_id", "hash").agg(F.min("turn").alias("source"))
     links = quoted.join(origin, ["conv_id", "hash"]).where("source < turn")
-    per_quote = links.groupBy("conv_id", "turn", "n").agg(F.min("depth").alias("depth"), F.min("source").alias("source"))
+    # the most characters first, so the whole passage before its parts; then the earliest message
+    per_quote = links.groupBy("conv_id", "turn", "n").agg(F.min("depth").alias("depth"), F.min(F.struct((-F.col("chars")).alias("less"), "source"))["source"].alias("source"))
     reply = cut(per_quote.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n_linked"), F.min(F.struct("depth", "n", "source"))["source"].alias("reply_to")))
     # pointer doubling: far is the ancestor reached so far, path the turns from below it down to the message
     path = F.lpad(F.col("turn").cast("string"), 10, "0")

@@ -353,6 +353,22 @@ def test_quotation_linking(spark):
     assert got[(2, 0, "user")].n_linked == 0
 
 
+def test_quoted_passages_of_many_lines(spark):
+    said = ["Hi all", "Hi all\nnothing yet", "the plan", "Hi all\nthe plan\n\nis long\nand good", "bye"]
+    quotes = {
+        "> Hi all\n> the plan\n>\n> is long\n> and good": 3,  # the whole body
+        "> Hi all\n> the plan\n> is long": 3,  # a run of lines, by far not the first to say the first of them
+        "> the plan\n> is long\n> and good": 3,
+        "> and the like\n> is long": 3,  # the first line is said by nobody
+        "> Hi all\n> [...]\n> and good": 3,  # the line of most characters
+        "> Hi all": 0,
+        "> all\n> or nothing": None,
+    }
+    rows = [(1, i, "user", t) for i, t in enumerate(said)] + [(1, 10 + i, "user", q + "\nYes %d." % i) for i, q in enumerate(quotes)]
+    got = {r.turn: r.reply_to for r in quotation.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert [got[10 + i] for i in range(len(quotes))] == list(quotes.values())
+
+
 def test_empty_tables(spark):
     none = docs(spark, [])
     for f in (simhash.simhash_components, mixing.mix, fingerprints.fingerprint_documents, pii.find_personal_data):

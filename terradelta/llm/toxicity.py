@@ -35,7 +35,7 @@ HIDDEN = 8
 WIDTH = 6
 BUCKETS = 1 << 14
 ODDS = 1 << 16
-SAMPLE = 1000
+SAMPLE = 1500
 #: Texts worked on at a time while fitting.
 BLOCK = 50
 THRESHOLD = 0.3

@@ -259,6 +259,15 @@ def test_toxicity_learns_and_scores_whole_texts(spark):
     assert {x.score for x in toxicity.score_documents(d, none).collect()} == {0.0}
 
 
+def test_toxicity_is_fitted_on_1500_texts_a_class(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity.Network, "learn", lambda self, texts, y, share: seen.append(np.bincount(y).tolist()))
+    labels = spark.range(4500).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic").where("toxic = 0 or doc_id < 4000")
+    toxicity.fit(spark.range(4500).selectExpr("id as doc_id", "concat('text ', id) as text"), labels)
+    learnable = [sum(i % 2 == k and (k == 0 or i < 4000) and zlib.crc32(str(i).encode()) % 4 != 2 for i in range(4500)) for k in (0, 1)]
+    assert seen == [[1500, min(1500, learnable[1])]] and min(learnable) > 1000
+
+
 def test_gradients():
     import pyarrow as pa
 

@@ -1,8 +1,8 @@
 """A training-data pipeline of five corpus operators.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame.  All but the last
-return the columns of documents.  Rows that share a doc_id count as one document.
-Keys compare null-safe, so a row without doc_id is decided on like any other.
+return the columns of documents.  Each row is a document of its own, whatever other rows
+have its doc_id or none: decisions stay with the row, by a key made for the stage.
 """
 
 from __future__ import annotations
@@ -15,31 +15,39 @@ from terradelta.llm.decontamination import decontaminate, is_contaminated
 from terradelta.llm.mixing import mix
 from terradelta.llm.pii import mask_personal_data
 from terradelta.llm.simhash import simhash_components
-from terradelta.llm.toxicity import fit, score_documents
+from terradelta.llm.toxicity import fit, without_toxic
 
 
-def _with_key(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-    keys = keys.select(F.col("doc_id").cast("long").alias("__key"), *[c for c in keys.columns if c != "doc_id"])
-    return docs.join(keys, docs["doc_id"].cast("long").eqNullSafe(keys["__key"]), how).drop("__key")
+def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows with a key, stored so that it stays the same, and the rows under that key for doc_id."""
+    rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
+    return rows, rows.withColumn("doc_id", F.col("__row")).drop("__row")
+
+
+def _with_key(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    return rows.join(keys, "__row", how).drop("__row")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the network rejects go."""
-    network = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rejected = score_documents(docs, network).where("predicted = 1").select("doc_id").distinct()
-    return _with_key(docs, rejected, "left_anti")
+    return without_toxic(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays, the one of the smallest doc_id."""
-    first = simhash_components(docs).where("doc_id <=> component_id").select("doc_id").distinct()
-    return _with_key(docs, first, "left_semi")
+    """One row of each component stays: that of the smallest doc_id, rows without one last, ties by a hash of the row."""
+    rows, own = _keyed(docs)
+    found = simhash_components(own).select(F.col("doc_id").alias("__row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.xxhash64(*docs.columns).alias("tie"), F.col("__row"))
+    ranked = rows.select("__row", order.alias("order")).join(found, "__row")
+    first = ranked.groupBy("component_id").agg(F.min("order")["__row"].alias("__row")).select("__row")
+    return _with_key(rows, first, "left_semi")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go."""
-    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _with_key(docs, found.where(is_contaminated()).select("doc_id").distinct(), "left_anti")
+    rows, own = _keyed(docs)
+    found = decontaminate(own, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _with_key(rows, found.where(is_contaminated()).select(F.col("doc_id").alias("__row")), "left_anti")
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +60,10 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the mix with size, source_size, target, copies (1 or 2) and taken."""
-    taken = mix(docs).groupBy("doc_id").agg(*[F.max(c).alias(c) for c in ("size", "source_size", "target", "copies")]).where("copies > 0")
-    return _with_key(docs, taken, "inner").withColumn("taken", F.col("size") * F.col("copies"))
+    rows, _ = _keyed(docs)
+    found = mix(rows.withColumn("__tie", F.xxhash64(*docs.columns)), carry=("__tie", "__row"))
+    taken = found.where("copies > 0").select("__row", "size", "source_size", "target", "copies")
+    return _with_key(rows, taken, "inner").withColumn("taken", F.col("size") * F.col("copies"))
 
 
 STAGES = [

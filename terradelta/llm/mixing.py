@@ -39,14 +39,15 @@ STEPS = 64
 GROUP = 4096
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words) of every row."""
+def sizes(docs: DataFrame, carry: tuple = ()) -> DataFrame:
+    """doc_id, source, size (words) of every row, and the long columns to carry."""
 
     def run(batches):
         for b in batches:
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(word_counts(b.column(2)))], names=["doc_id", "source", "size"])
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(word_counts(b.column(2))), *b.columns[3:]], names=["doc_id", "source", "size", *carry])
 
-    return with_columns_of(docs, "doc_id", "source", "text").mapInArrow(run, "doc_id long, source string, size long")
+    rows = with_columns_of(docs.withColumns({f"{c}_id": F.col(c) for c in carry}), "doc_id", "source", "text", *[f"{c}_id" for c in carry])
+    return rows.mapInArrow(run, "doc_id long, source string, size long" + "".join(f", {c} long" for c in carry))
 
 
 def source_targets(rows: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -93,19 +94,19 @@ def copies(size: np.ndarray, rate: float) -> np.ndarray:
     return out
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE) -> DataFrame:
-    """doc_id, source, size, source_size, target, rate, copies of every row."""
-    rows = cut(sizes(docs))
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, carry: tuple = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, rate, copies of every row, and the long columns to carry, which order rows of one doc_id."""
+    rows = cut(sizes(docs, carry))
     state = tilts(source_targets(rows, weights, share)).withColumn("same", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).drop("source")
     rows = rows.withColumn("same", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).join(state, "same")
     salt = F.pmod(F.xxhash64("doc_id", "size"), F.ceil(F.col("n_docs") / GROUP))
 
     def round_group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable")
+        pdf = pdf.sort_values(["size", "doc_id", *carry], ascending=[False] + [True] * (1 + len(carry)), kind="stable")
         pdf["copies"] = copies(pdf["size"].to_numpy(), float(pdf["rate"].iloc[0]))
-        return pdf[["doc_id", "source", "size", "source_size", "target", "rate", "copies"]]
+        return pdf[["doc_id", "source", "size", "source_size", "target", "rate", "copies", *carry]]
 
-    schema = "doc_id long, source string, size long, source_size long, target double, rate double, copies long"
+    schema = "doc_id long, source string, size long, source_size long, target double, rate double, copies long" + "".join(f", {c} long" for c in carry)
     return rows.withColumn("salt", salt).groupBy("same", "salt").applyInPandas(round_group, schema)
 
 

@@ -358,6 +358,22 @@ def score_documents(docs: DataFrame, network: Network) -> DataFrame:
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def without_toxic(docs: DataFrame, network: Network) -> DataFrame:
+    """The rows of docs that the network doesn't reject, each decided on by its own text; all columns stay."""
+    model = docs.sparkSession.sparkContext.broadcast({k: v for k, v in network.__dict__.items() if k != "moment"})
+    at = [c.lower() for c in docs.columns].index("text")
+
+    def run(batches):
+        n = Network.__new__(Network)
+        n.__dict__.update(model.value)
+        for b in batches:
+            for i in range(0, b.num_rows, 200):  # whole rows travel: small pieces keep their copies small
+                part = b.slice(i, 200)
+                yield part.filter(pa.array(n.score(part.column(at)) < THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score_documents(docs, fit(docs, table(spark, sf_dir, "labels")))

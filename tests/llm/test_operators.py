@@ -407,3 +407,44 @@ def test_pipeline_stages(spark, tmp_path):
     assert not any("@" in (x.text or "") for x in out)
     assert len([x for x in out if 1000 <= x.doc_id < 1004]) <= 1
     assert all(x.taken == x.size * x.copies and (x.n_chars or 0) == len(x.text or "") for x in out)
+
+
+def test_pipeline_decides_on_each_row(spark, tmp_path):
+    import corpus_pipeline as c
+    import pyarrow as pa
+
+    r = random.Random(5)
+    bench = " ".join(f"q{i}" for i in range(20))
+    make = lambda k, bad: " ".join(r.choice(["idiot", "scum", "moron"]) if bad and j == k // 2 else r.choice(["lorem", "ipsum", "dolor"]) + str(r.randrange(900)) for j in range(k))
+    labelled = [(i, make(r.randrange(20, 60), i % 4 == 0), "a") for i in range(300)]
+    rows = [*labelled, *[(None, make(40, bad), s) for bad in (True, False) for s in ("a", "b", None)], (None, bench, "a"), (None, make(40, False) + " " + bench, "b")]
+    rows += [(None, rows[-3][1], None), (None, rows[1][1], "a")]  # copies: of a row without doc_id, and of one with
+    rows += [(7, rows[7][1], "a")] * 2 + [(900, make(30, False), "b"), (900, make(30, True), "b"), (900, make(30, False), "b")]
+    r.shuffle(rows)
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    frame = lambda rows: spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], kind)
+    spark.createDataFrame([(1, bench)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(300)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    key = lambda rows: sorted(map(repr, rows))
+    stage = lambda f, rows: [(x.doc_id, x.text, x.source) for x in f(spark, frame(rows).repartition(3), str(tmp_path)).collect()]
+
+    network = toxicity.fit(frame(rows), spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    score = network.score(pa.array([t for _, t, _ in rows]))
+    kept = [x for x, s in zip(rows, score) if s < toxicity.THRESHOLD]
+    assert any(i is None for i, _, _ in kept) and any(x[0] is None and x not in kept for x in rows)
+    assert key(stage(c.toxicity, rows)) == key(kept)
+
+    classes = brute_classes([brute_fingerprint(t) for _, t, _ in kept])
+    groups = {k: [x for x, g in zip(kept, classes) if g == k] for k in set(classes)}
+    got = stage(c.simhash_near_dedup, kept)
+    assert len(got) == len(groups) < len(kept)
+    assert sorted(repr(min((x[0] for x in g if x[0] is not None), default=None)) for g in groups.values()) == sorted(repr(x[0]) for x in got)
+
+    clean = [x for x in got if bench not in x[1]]
+    assert len(clean) < len(got) and key(stage(c.benchmark_decontamination, got)) == key(clean)
+
+    out = c.source_mixing(spark, frame(clean), str(tmp_path)).collect()
+    wanted = [(x.doc_id, x.size, x.copies, x.source) for x in mixing.mix(frame(clean)).collect() if x.copies]
+    assert len(out) == len(wanted) <= len(clean)
+    assert sorted((x.size, x.copies, repr(x.source)) for x in out) == sorted((n, k, repr(s)) for _, n, k, s in wanted)
+    assert {(x.doc_id, x.text, x.source) for x in out} <= set(clean) and any(x.doc_id is None for x in out)

@@ -1,9 +1,11 @@
 """Vectorised text kernels shared by the corpus operators.
 
 Every kernel works on the UTF-8 bytes of a whole Arrow batch at once: words are
-found by a byte table, and the hash of any run of bytes or words is a difference
-of prefix sums of ``(unit + 1) * R**position``, shifted back by the inverse of
-``R`` modulo 2**64.  No kernel makes a Python object per word.
+found by a byte table, and a word's hash is the scrambled sum of its bytes, each
+scrambled with its place in the word.  The hash of any run of units, which only ever
+chooses what is compared, is a difference of prefix sums of ``(unit + 1) * R**position``,
+shifted back by the inverse of ``R`` modulo 2**64.  No kernel makes a Python object per
+word.
 """
 
 from __future__ import annotations
@@ -129,7 +131,33 @@ def word_counts(column: pa.Array) -> np.ndarray:
 def word_hashes(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """64-bit hash, start and end of every word, and the texts' word offsets."""
     starts, ends, at = words(data, offsets, separator)
-    return RunHash(data).of(starts, ends), starts, ends, at
+    return span_hashes(data, starts, ends), starts, ends, at
+
+
+#: Scrambled (byte, place) pairs of the first places; further ones are scrambled as they come.
+_pairs = np.zeros((0, 256), U64)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The 64-bit hash of each span ``data[start:end]``, a sum that is no polynomial, so periodic words don't collide."""
+    global _pairs
+    if not len(_pairs):
+        _pairs = mix(np.arange(64 * 256, dtype=U64).reshape(64, 256) + U64(0x5851F42D4C957F2D))
+    size = ends - starts
+    out = np.zeros(len(starts), U64)
+    with np.errstate(over="ignore"):
+        order = np.argsort(-np.minimum(size, 64).astype(np.int8), kind="stable")
+        begin, n = starts[order], size[order]
+        total = np.zeros(len(order), U64)
+        live = len(order)
+        for place in range(int(min(64, n.max(initial=0)))):
+            live = int(np.searchsorted(-np.minimum(n[:live], 64), -place))
+            total[:live] += _pairs[place][data[begin[:live] + place]]
+        for i in np.flatnonzero(n > 64):
+            rest = data[begin[i] + 64 : begin[i] + n[i]].astype(U64)
+            total[i] += mix((np.arange(64, n[i], dtype=U64) * U64(256) + rest) + U64(0x5851F42D4C957F2D)).sum(dtype=U64)
+        out[order] = mix(total + n.astype(U64) * U64(0xD6E8FEB86659FD93))
+    return out
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:

@@ -3,19 +3,23 @@
 Each window of W units belongs to one *anchor*: the q-gram in it with the least
 hash.  Equal windows have equal anchors, so all copies of a window meet under one
 anchor, wherever they stand.  Consecutive windows with one anchor form a *run*.
-Documents are dealt into *units* (ranges of doc_id of a bounded size) and anchors
-into *buckets* by hash; what passes between them is packed arrays.
-
-1. Each unit sends its distinct (anchor, run content) hashes to the buckets.  So a
-   passage that fills a third of all rows costs one entry a unit.
-2. A bucket tells the units which entries stand nowhere else (0), are equal runs
-   wherever their anchor occurs (1), or belong to an anchor with different runs (2).
-3. Only the runs of (2) are sent with their content; the buckets build their index
-   on them (``resolve``) and answer with one bit a window.
-4. Each unit recomputes its runs, applies the answers, and makes the result.
-
+Rows are dealt by hash into *units* of a bounded size, and anchors into buckets by
+hash; what passes between them is packed arrays.
+
+1. Each unit sends the hashes of its distinct anchors to the buckets, which answer
+   whether another unit has the anchor too.  A run whose anchor stands nowhere else
+   has no window that does; this only chooses what is looked at.
+2. Each unit sends one copy of every distinct run whose anchor stands elsewhere, there
+   or in the unit itself, with the least document and the number of its occurrences.
+3. A shard of the index takes the runs of one range of anchors, keeps each distinct
+   one once, and ``resolve`` answers with one value a window.
+4. Each unit recomputes its runs, applies the answers, and makes the result.  Nothing
+   is removed but on the index's word.
+
+Runs are told apart by two hashes, and those that agree are compared unit by unit.
 Recomputing runs is cheap and deterministic, so a lost executor costs only its own
-groups, and no list of occurrences is ever gathered for a key.
+groups, and no list of occurrences is ever gathered for a key: rows of one doc_id, or
+of none, are dealt over units like any others.
 """
 
 from __future__ import annotations
@@ -28,13 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_bounds, parts_for, range_of
+from .common import parts_for
 from .kernels import U64, RunHash, mix, ranges, release, slices, sliding_min, utf8, word_hashes
 
 LAST = np.iinfo(np.int64).max
 LOW = U64((1 << 26) - 1)
 #: Longer texts are worked on in pieces of so many units that overlap by window - 1.
 PIECE = 1 << 22
+#: Stored bytes of input in a unit.
+EACH = 3 << 20
 
 
 @dataclass(frozen=True)
@@ -78,15 +84,66 @@ def runs_of(units: np.ndarray, at: np.ndarray, window: int, gram: int) -> tuple[
     return first, count, mix(gram_hash[a[f]]), hashes.of(first, first + count + window - 1)
 
 
+def same_units(units: np.ndarray, a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Whether the runs of na units at a equal those of nb at b, unit by unit."""
+    out = na == nb
+    at = np.flatnonzero(out)
+    total = np.cumsum(na[at])
+    i = 0
+    while i < len(at):
+        j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + (1 << 20), "right")))
+        part = at[i:j]
+        n = na[part]
+        equal = units[ranges(a[part], n)] == units[ranges(b[part], n)]
+        out[part] = np.logical_and.reduceat(equal, np.cumsum(n) - n)
+        i = j
+    return out
+
+
+def distinct_runs(units: np.ndarray, first: np.ndarray, length: np.ndarray, major: np.ndarray, minor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The group of every run and the first run of each group, groups in the order of (major, minor) hash.
+
+    Runs of one group are equal, unit by unit; where hashes agree and runs don't, the runs' own order is the minor one."""
+    if not len(first):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.argsort(major)
+    m = major[order]
+    new = np.ones(len(order), bool)
+    new[1:] = m[1:] != m[:-1]
+    tied = ~new
+    tied[:-1] |= ~new[1:]
+    slots = np.flatnonzero(tied)
+    if len(slots):
+        idx = order[slots]
+        idx = idx[np.lexsort((minor[idx], major[idx]))]
+        order[slots] = idx
+        a, b = major[idx], minor[idx]
+        differs = np.ones(len(idx), bool)
+        differs[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        new[slots] = differs
+    entry = np.empty(len(order), np.int64)
+    entry[order] = np.cumsum(new) - 1
+    sample = np.minimum.reduceat(order, np.flatnonzero(new))
+    others = np.flatnonzero(sample[entry] != np.arange(len(order)))
+    twin = sample[entry[others]]
+    same = same_units(units, first[others], first[twin], length[others], length[twin])
+    if not same.all():
+        inside = np.flatnonzero(np.isin(entry, entry[others[~same]]))
+        content = [units[first[i] : first[i] + length[i]].tobytes() for i in inside]
+        rank = {c: r for r, c in enumerate(sorted(set(content)))}
+        minor = minor.copy()
+        minor[inside] = [rank[c] for c in content]
+        return distinct_runs(units, first, length, major, minor)
+    return entry, sample
+
+
 class Unit:
-    """The documents of one unit, their runs, and the distinct entries among these in the order that answers follow."""
-
-    def __init__(self, rows: pa.Table, spec: Spec, buckets: int):
-        order = np.argsort(rows["key"].to_numpy(), kind="stable")
-        self.rows = rows.take(pa.array(order)) if len(order) and (np.diff(order) < 0).any() else rows
-        self.spec, self.buckets = spec, buckets
-        self.key = self.rows["key"].to_numpy()
-        self.data, self.offsets = utf8(self.rows["text"])
+    """The rows of one unit and their runs."""
+
+    def __init__(self, rows: pa.Table, spec: Spec):
+        self.rows, self.spec = rows, spec
+        self.key = rows["key"].to_numpy()
+        self.data, self.offsets = utf8(rows["text"])
         if spec.kind == "word":
             parts, n = [], 0
             at = [np.zeros(1, np.int64)]
@@ -111,60 +168,59 @@ class Unit:
                 if q == hi:
                     break
         empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, U64))
-        self.first, self.count, head, content = (np.concatenate([x[k] for x in found]) if found else empty[k] for k in range(4))
+        self.first, self.count, self.head, self.content = (np.concatenate([x[k] for x in found]) if found else empty[k] for k in range(4))
+
+    def heads(self) -> np.ndarray:
+        """The distinct anchors, in order."""
+        return np.unique(self.head)
+
+    def choose(self, elsewhere: np.ndarray) -> None:
+        """Groups the runs into entries; those to send have an anchor that stands elsewhere, as told for each of heads(), or here."""
+        length = self.count + self.spec.window - 1
         self.doc = np.searchsorted(self.at, self.first, "right") - 1
-        key1 = (head & ~U64((1 << 24) - 1)) | (content >> U64(40))
-        key2 = ((content >> U64(8)) & U64(0xFFFFFFFF)).astype(np.uint32)
-        order = np.argsort(key1)
-        k1, k2 = key1[order], key2[order]
-        new = np.ones(len(order), bool)
-        new[1:] = k1[1:] != k1[:-1]
-        if ((k2[1:] != k2[:-1]) & ~new[1:]).any():
-            order = np.lexsort((key2, key1))
-            k1, k2 = key1[order], key2[order]
-            new[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
-        self.entry = np.empty(len(order), np.int64)
-        self.entry[order] = np.cumsum(new) - 1
-        begin = np.flatnonzero(new)
-        self.key1, self.key2 = k1[begin], k2[begin]
-        self.times = np.diff(np.append(begin, len(order)))
-        self.sample = np.minimum.reduceat(order, begin) if len(begin) else begin  # the first occurrence, in doc order
-        self.least = self.key[self.doc[self.sample]] if len(begin) else np.zeros(0, np.int64)
-        self.bucket = ((self.key1 >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
-
-    def by_bucket(self, which: np.ndarray):
-        """(bucket, indices) over the entries named, which are in order."""
-        edges = np.flatnonzero(np.diff(self.bucket[which], prepend=-1))
-        for a, b in zip(edges, np.append(edges[1:], len(which))):
-            yield int(self.bucket[which[a]]), which[a:b]
-
-    def window_flags(self, codes: np.ndarray, bits: np.ndarray) -> np.ndarray:
-        """First windows to remove: (start, number of windows) pairs of consecutive ones."""
+        heads, which = np.unique(self.head, return_inverse=True)
+        if self.spec.earlier:  # places in one document don't count
+            low, high = np.full(len(heads), LAST), np.full(len(heads), np.iinfo(np.int64).min)
+            np.minimum.at(low, which, self.key[self.doc])
+            np.maximum.at(high, which, self.key[self.doc])
+            here = low < high
+        else:
+            here = np.bincount(which, minlength=len(heads)) > 1
+        self.sent = np.flatnonzero((elsewhere | here)[which])  # runs
+        s = self.sent
+        self.entry, sample = distinct_runs(self.units, self.first[s], length[s], self.head[s], self.content[s])
+        self.sample = s[sample]
+        self.times = np.bincount(self.entry, minlength=len(sample))
+        self.least = np.full(len(sample), LAST)
+        np.minimum.at(self.least, self.entry, self.key[self.doc[s]])
+
+    def covered(self, value: np.ndarray) -> np.ndarray:
+        """One boolean a unit: covered by a window that is to go.  value: the index's answer for each window of each entry."""
         spec = self.spec
-        if not len(self.first):
-            return np.zeros((0, 2), np.int64)
-        code = codes[self.entry]
-        local = self.key[self.doc] > self.least[self.entry] if spec.earlier else self.times[self.entry] > 1
-        whole = local | (code == 1)
-        part = np.flatnonzero(~whole & (code == 2))
-        two = np.flatnonzero(codes == 2)
-        begin = np.zeros(len(codes) + 1, np.int64)
-        lengths = self.count[self.sample[two]]
-        begin[two] = np.cumsum(lengths) - lengths
-        at = ranges(begin[self.entry[part]], self.count[part])
-        win = ranges(self.first[part], self.count[part])[bits[at].astype(bool)] if len(at) else at
-        out = np.concatenate([np.stack([self.first[whole], self.count[whole]], 1), np.stack([win, np.ones(len(win), np.int64)], 1)])
-        return out
-
-    def covered(self, codes: np.ndarray, bits: np.ndarray) -> np.ndarray:
-        """One boolean a unit: covered by a window that is to go."""
-        w = self.window_flags(codes, bits)
         step = np.zeros(len(self.units) + 1, np.int32)
-        np.add.at(step, w[:, 0], 1)
-        np.add.at(step, w[:, 0] + w[:, 1] + self.spec.window - 1, -1)
+        if len(self.sent):
+            many = self.count[self.sample]
+            begin = np.cumsum(many) - many
+            count = self.count[self.sent]
+            answer = value[ranges(begin[self.entry], count)]
+            if spec.earlier:
+                # 2: in a smaller document than any here; 1: repeated, so in the least document here, which keeps it
+                gone = answer > np.repeat(self.key[self.doc[self.sent]] == self.least[self.entry], count)
+            else:
+                gone = answer >= spec.window
+            w = ranges(self.first[self.sent], count)[gone]
+            np.add.at(step, w, 1)
+            np.add.at(step, w + spec.window, -1)
         return np.cumsum(step[:-1], dtype=np.int32) > 0
 
 
+def dealt(head: np.ndarray, groups: int):
+    """(group, first, last + 1) of every group of the sorted hashes."""
+    group = ((head >> U64(32)) * U64(groups) >> U64(32)).astype(np.int64)
+    edges = np.flatnonzero(np.diff(group, prepend=-1))
+    return zip(group[edges].tolist(), edges.tolist(), np.append(edges[1:], len(head)).tolist()) if len(head) else ()
+
+
 def _rows(names: list[str], kinds: list[pa.DataType], rows: list[tuple]) -> pa.Table:
     return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(names, kinds))})
 
@@ -173,11 +229,11 @@ def _bytes(column: pa.ChunkedArray, dtype) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), dtype) if x.as_buffer().size else np.zeros(0, dtype) for x in column]
 
 
-def _answers(rows: pa.Table, kind: int, dtype) -> np.ndarray:
-    """The answers of one kind to a unit, joined in bucket order."""
+def _answers(rows: pa.Table, kind: int) -> np.ndarray:
+    """The answers of one kind to a unit, joined in the order of groups."""
     table = rows.filter(pa.array(rows["kind"].to_numpy() == kind)).sort_by("bucket") if rows.num_rows else rows
-    found = _bytes(table["body"], dtype) if table.num_rows else []
-    return np.concatenate(found) if found else np.zeros(0, dtype)
+    found = _bytes(table["body"], np.uint8) if table.num_rows else []
+    return np.concatenate(found) if found else np.zeros(0, np.uint8)
 
 
 def released(f: Callable) -> Callable:
@@ -194,80 +250,89 @@ def released(f: Callable) -> Callable:
 def repeated_windows(
     docs: DataFrame, spec: Spec, resolve: Callable, finish: Callable[[Unit, np.ndarray], pa.Table], result: str, parts: int | None = None
 ) -> DataFrame:
-    """docs has doc_id and text.  ``resolve(segments)`` is the index a bucket builds, see the operators;
-    ``finish(unit, covered)`` makes the result's rows of a unit, of schema ``result``."""
-    parts = parts or parts_for(docs, 3 << 20)
+    """docs has doc_id and text.  ``resolve(units, length, least, times, spec)`` is the index of one range of anchors over
+    distinct runs, see the operators; ``finish(unit, covered)`` makes the result's rows of a unit, of schema ``result``."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    parts = parts or parts_for(docs, EACH, cores)
+    buckets, shards = max(parts // 4, min(parts, cores)), max(parts // 2, min(parts, cores))
     key = F.coalesce(F.col("doc_id"), F.lit(int(LAST)))
-    bounds = id_bounds(docs.select(key.alias("key")), "key", parts)
-    rows = docs.select("doc_id", "text", key.alias("key")).withColumn("unit", range_of(F.col("key"), bounds).cast("int"))
-    buckets, few = parts, parts if spec.kind == "byte" else max(1, parts // 2)
-    i4, i8, b8 = pa.int32(), pa.int64(), pa.binary()
+    unit = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(parts)).cast("int")
+    rows = docs.select("doc_id", "text", key.alias("key"), unit.alias("unit"))
+    i4, b8 = pa.int32(), pa.binary()
 
     @released
     def send(table: pa.Table) -> pa.Table:
-        u = Unit(table, spec, buckets)
+        heads = Unit(table, spec).heads()
         unit = table["unit"][0].as_py()
-        return _rows(["bucket", "unit", "body", "more"], [i4, i4, b8, b8], [(k, unit, u.key1[x].tobytes(), u.key2[x].tobytes()) for k, x in u.by_bucket(np.arange(len(u.key1)))])
+        return _rows(["bucket", "unit", "body"], [i4, i4, b8], [(k, unit, heads[i:j].tobytes()) for k, i, j in dealt(heads, buckets)])
 
     @released
     def judge(table: pa.Table) -> pa.Table:
-        table = table.sort_by("unit")
-        k1s, k2s, units = _bytes(table["body"], U64), _bytes(table["more"], np.uint32), table["unit"].to_numpy()
-        k1, k2 = np.concatenate(k1s), np.concatenate(k2s)
-        order = np.argsort(k1)
-        a, b = k1[order], k2[order]
-        head = a >> U64(24)
-        new = np.ones(len(a), bool)
-        new[1:] = head[1:] != head[:-1]
-        differs = np.zeros(len(a), np.int64)
-        differs[1:] = ~new[1:] & ((a[1:] != a[:-1]) | (b[1:] != b[:-1]))
-        begin = np.flatnonzero(new)
-        size = np.diff(np.append(begin, len(a)))
-        cuts = np.cumsum([0, *map(len, k1s)])
-        # rows stand in the order of units, so the least row of a group is in its first unit
-        elsewhere = order != np.repeat(np.minimum.reduceat(order, begin), size) if spec.earlier else np.repeat(size, size) > 1
-        out = np.empty(len(a), np.uint8)
-        out[order] = np.where(np.repeat(np.add.reduceat(differs, begin), size) > 0, 2, elsewhere)
+        found = _bytes(table["body"], U64)
+        heads = np.concatenate(found)
+        order = np.argsort(heads)
+        h = heads[order]
+        twice = np.zeros(len(h), bool)
+        twice[1:] = h[1:] == h[:-1]
+        twice[:-1] |= twice[1:]
+        out = np.empty(len(h), np.uint8)
+        out[order] = twice
+        cuts = np.cumsum([0, *map(len, found)])
         bucket = table["bucket"][0].as_py()
-        return _rows(["unit", "kind", "bucket", "body"], [i4, i4, i4, b8], [(int(u), 1, bucket, out[cuts[i] : cuts[i + 1]].tobytes()) for i, u in enumerate(units)])
+        return _rows(["unit", "kind", "bucket", "body"], [i4, i4, i4, b8], [(u, 1, bucket, out[i:j].tobytes()) for u, i, j in zip(table["unit"].to_pylist(), cuts, cuts[1:])])
 
     @released
     def ship(table: pa.Table, answers: pa.Table) -> pa.Table:
-        names, kinds = ["few", "unit", "bucket", "head", "length", "least", "times", "content"], [i4, i4, i4, b8, b8, b8, b8, b8]
+        names, kinds = ["bucket", "unit", "length", "least", "times", "content"], [i4, i4, b8, b8, b8, b8]
         if not table.num_rows:
             return _rows(names, kinds, [])
-        u = Unit(table, spec, buckets)
-        two = np.flatnonzero(_answers(answers, 1, np.uint8) == 2)
-        out = []
-        for k, x in u.by_bucket(two):
-            s = u.sample[x]
+        u = Unit(table, spec)
+        u.choose(_answers(answers, 1).astype(bool))
+        out, unit = [], table["unit"][0].as_py()
+        for k, i, j in dealt(u.head[u.sample], shards):
+            s = u.sample[i:j]
             length = u.count[s] + spec.window - 1
             body = u.units[ranges(u.first[s], length)]
-            out.append((k * few // buckets, table["unit"][0].as_py(), k, (u.key1[x] >> U64(24)).tobytes(), length.astype(np.int32).tobytes(), u.least[x].tobytes(), np.minimum(u.times[x], 2).astype(np.int8).tobytes(), body.tobytes()))
+            out.append((k, unit, length.astype(np.int32).tobytes(), u.least[i:j].tobytes(), np.minimum(u.times[i:j], 2).astype(np.int8).tobytes(), body.tobytes()))
         return _rows(names, kinds, out)
 
     @released
     def index(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("unit", "ascending"), ("bucket", "ascending")])
-        cols = {n: _bytes(table[n], d) for n, d in (("length", np.int32), ("least", np.int64), ("times", np.int8), ("content", np.uint8 if spec.kind == "byte" else U64))}
-        flags = resolve(cols["content"], cols["length"], cols["least"], cols["times"], table["unit"].to_numpy(), spec)
-        out, at = [], 0
-        for unit, bucket, length in zip(table["unit"].to_pylist(), table["bucket"].to_pylist(), cols["length"]):
-            n = int((length - spec.window + 1).sum())
-            out.append((unit, 2, bucket, np.asarray(flags[at : at + n], np.uint8).tobytes()))
-            at += n
-        return _rows(["unit", "kind", "bucket", "body"], [i4, i4, i4, b8], out)
+        table = table.sort_by("unit")
+        found = [_bytes(table[n], d) for n, d in (("length", np.int32), ("least", np.int64), ("times", np.int8), ("content", np.uint8 if spec.kind == "byte" else U64))]
+        cuts = np.cumsum([0, *map(len, found[0])])
+        length, least, times, content = map(np.concatenate, found)
+        length = length.astype(np.int64)
+        first = np.cumsum(length) - length
+        entry, sample = distinct_runs(content, first, length, RunHash(content).of(first, first + length), length.astype(U64))
+        # the distinct runs, each where the first unit that has it sent it
+        order = np.argsort(sample)
+        sample, place = sample[order], np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        entry = place[entry]
+        low = np.full(len(sample), LAST)
+        np.minimum.at(low, entry, least)
+        many = length - spec.window + 1
+        own = many[sample]
+        value = resolve(content[ranges(first[sample], length[sample])], length[sample], low, np.bincount(entry, times).astype(np.int64), spec)
+        value = value[ranges((np.cumsum(own) - own)[entry], many)]
+        if spec.earlier:  # to each unit, of its own least document
+            value = np.where(value < np.repeat(least, many), 2, value < LAST)
+        value, ends = value.astype(np.uint8), np.concatenate([[0], np.cumsum(many)])
+        bucket = table["bucket"][0].as_py()
+        return _rows(["unit", "kind", "bucket", "body"], [i4, i4, i4, b8], [(u, 2, bucket, value[ends[i] : ends[j]].tobytes()) for u, i, j in zip(table["unit"].to_pylist(), cuts, cuts[1:])])
 
     @released
     def apply(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return finish(None, None)
-        u = Unit(table, spec, buckets)
-        return finish(u, u.covered(_answers(answers, 1, np.uint8), _answers(answers, 2, np.uint8)))
+        u = Unit(table, spec)
+        u.choose(_answers(answers, 1).astype(bool))
+        return finish(u, u.covered(_answers(answers, 2)))
 
     grouped = rows.groupBy("unit")
     answer = "unit int, kind int, bucket int, body binary"
-    codes = grouped.applyInArrow(send, "bucket int, unit int, body binary, more binary").groupBy("bucket").applyInArrow(judge, answer)
-    shipped = grouped.cogroup(codes.groupBy("unit")).applyInArrow(ship, "few int, unit int, bucket int, head binary, length binary, least binary, times binary, content binary")
-    flags = shipped.groupBy("few").applyInArrow(index, answer)
-    return grouped.cogroup(codes.unionByName(flags).groupBy("unit")).applyInArrow(apply, result)
+    known = grouped.applyInArrow(send, "bucket int, unit int, body binary").groupBy("bucket").applyInArrow(judge, answer)
+    shipped = grouped.cogroup(known.groupBy("unit")).applyInArrow(ship, "bucket int, unit int, length binary, least binary, times binary, content binary")
+    found = shipped.groupBy("bucket").applyInArrow(index, answer)
+    return grouped.cogroup(known.unionByName(found).groupBy("unit")).applyInArrow(apply, result)

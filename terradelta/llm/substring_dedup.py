@@ -5,13 +5,14 @@ anywhere else, the same document included, is removed.  Windows are judged on th
 input; words are compared by 64-bit hash, position by position, so two different
 windows count as equal only if the hashes of two different words collide.
 
-A shard is a bucket of text segments around equal anchors (see ``repeats``), so all
-copies of a window are in one shard.  The shard's words become an FM-index: the
-Burrows-Wheeler transform of the segments as a wavelet matrix of bit vectors with
-64-bit blocks and block ranks, and prefix sums of how often each segment occurs.
-The segments then stream past it.  Backward search extends a match to the left while
-its interval holds at least two occurrences, which yields the matching statistics;
-where a match reaches ``window`` words, the window at its left end is reported.
+A shard is the distinct runs of text around a range of anchors (see ``repeats``), so
+all copies of a window are in one shard.  The shard's words become an FM-index: the
+Burrows-Wheeler transform of the runs as a wavelet matrix of bit vectors with 64-bit
+blocks and block ranks, and prefix sums of how often each run occurs.  The runs then
+stream past it.  Backward search extends a match to the left while its interval holds
+at least two occurrences; where it can't, the match gives up words at its right end.
+That yields the matching statistics: for each place the most words, up to ``window``,
+that begin there and occur twice.  Windows whose statistic reaches ``window`` go.
 
 Defined cases: a null or empty text has no words and keeps none; extra columns are
 ignored; repeated rows count as different places; an empty table gives no rows.
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from .common import table, with_columns_of
 from .kernels import U64, ranges
 from .repeats import Spec, Unit, repeated_windows
+from .suffix_dedup import suffix_order
 
 WINDOW = 35
 #: Length of the word grams that deal windows to shards.
@@ -51,22 +53,9 @@ class Bits:
 class FMIndex:
     """Words 1.. with 0 between segments; the wavelet matrix holds the transform, a level for each bit."""
 
-    def __init__(self, text: np.ndarray, weight: np.ndarray):
+    def __init__(self, text: np.ndarray, weight: np.ndarray, depth: int):  # depth: of the longest match
         n = len(text)
-        rank, step = text.astype(np.int64), 1
-        while True:
-            second = np.zeros(n, np.int64)
-            if step < n:
-                second[: n - step] = rank[step:] + 1
-            order = np.argsort((rank.astype(U64) << U64(32)) | second.astype(U64), kind="stable")
-            a, b = rank[order], second[order]
-            new = np.ones(n, bool)
-            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(new) - 1
-            step *= 2
-            if new.all() or step >= n or step > 256:
-                break
+        order, _ = suffix_order(text, 1, depth)
         bwt = text[order - 1]
         self.weight = np.concatenate([[0], np.cumsum(weight[order])])
         top = int(text.max()) + 1 if n else 1
@@ -91,37 +80,39 @@ class FMIndex:
         return self.first[word] + at - self.block[word]
 
 
-def matching_windows(contents: list[np.ndarray], lengths: list[np.ndarray], least: list[np.ndarray], times: list[np.ndarray], units: np.ndarray, spec: Spec) -> np.ndarray:
-    """One flag for each window of each segment: does its word sequence occur at least twice?"""
-    content, length, count = np.concatenate(contents), np.concatenate(lengths).astype(np.int64), np.concatenate(times).astype(np.int64)
+def matching_statistics(content: np.ndarray, length: np.ndarray, least: np.ndarray, times: np.ndarray, spec: Spec) -> np.ndarray:
+    """For each window of each run the most words, up to a window, that begin at its start and occur at least twice.
+
+    A run is left where what remains before the match is too short for a window: there the statistic stays 0."""
     _, dense = np.unique(content, return_inverse=True)
     begin = np.cumsum(length + 1) - length - 1
     text = np.zeros(int(length.sum()) + len(length), np.int64)
     text[ranges(begin, length)] = dense + 1
-    index = FMIndex(text, np.repeat(count, length + 1))
     w = spec.window
+    index = FMIndex(text, np.repeat(times, length + 1), int(length.max()))
     n_windows = length - w + 1
-    flag_at = np.cumsum(n_windows) - n_windows
-    flags = np.zeros(int(n_windows.sum()), np.uint8)
-    # all segments go in step: seg, right end, left end, and the interval of text[left:right]
-    seg = np.arange(len(length))
-    right = length.copy()
-    left = length.copy()
-    lo, hi = np.zeros(len(seg), np.int64), np.full(len(seg), index.n, np.int64)
-    while len(seg):
-        word = text[begin[seg] + left - 1]
+    first = np.cumsum(n_windows) - n_windows
+    out = np.zeros(int(n_windows.sum()), np.uint8)
+    # all runs go in step: run, right end, left end, and the interval of text[left:right]
+    run = np.arange(len(length))
+    right, left = length.copy(), length.copy()
+    lo, hi = np.zeros(len(run), np.int64), np.full(len(run), index.n, np.int64)
+    while len(run):
+        word = text[begin[run] + left - 1]
         both = index.back(np.concatenate([word, word]), np.concatenate([lo, hi]))
-        nlo, nhi = both[: len(seg)], both[len(seg) :]
+        nlo, nhi = both[: len(run)], both[len(run) :]
         good = index.weight[nhi] - index.weight[nlo] >= 2
+        # a match of a whole window makes way for the next one; one that can't be extended gives up its last word
         fresh = np.where(good, right, np.minimum(left - 1 + w, right - 1))
         lo, hi = np.where(good, nlo, 0), np.where(good, nhi, index.n)
         left = np.where(good, left - 1, fresh)
         right = fresh
-        hit = good & (right - left >= w)
-        flags[flag_at[seg[hit]] + left[hit]] = 1
+        at = np.flatnonzero(good & (left < n_windows[run]))
+        place = first[run[at]] + left[at]
+        out[place] = np.maximum(out[place], np.minimum(right - left, w)[at])  # a match begun anew passes places again
         on = (left > 0) & (right >= w)
-        seg, right, left, lo, hi = seg[on], right[on], left[on], lo[on], hi[on]
-    return flags
+        run, right, left, lo, hi = run[on], right[on], left[on], lo[on], hi[on]
+    return out
 
 
 def words_kept(unit: Unit | None, covered: np.ndarray | None) -> pa.Table:
@@ -156,7 +147,7 @@ def words_kept(unit: Unit | None, covered: np.ndarray | None) -> pa.Table:
 def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, parts: int | None = None) -> DataFrame:
     """doc_id, n_words, the removed word spans and the text kept, for every row of docs."""
     rows = with_columns_of(docs, "doc_id", "text")
-    return repeated_windows(rows, Spec("word", window, gram, False), matching_windows, words_kept, RESULT, parts)
+    return repeated_windows(rows, Spec("word", window, gram, False), matching_statistics, words_kept, RESULT, parts)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,10 +103,10 @@ def test_very_long_text_is_worked_in_pieces(spark, monkeypatch):
     import pyarrow as pa
 
     text = " ".join(t or "" for _, t, *_ in rows)
-    unit = Unit(pa.table({"key": pa.array([1], pa.int64()), "doc_id": pa.array([1], pa.int64()), "text": [text]}), Spec("byte", 50, 20, True), 4)
+    unit = Unit(pa.table({"key": pa.array([1], pa.int64()), "doc_id": pa.array([1], pa.int64()), "text": [text]}), Spec("byte", 50, 20, True))
     b = text.encode()
     assert int(unit.count.sum()) == len(b) - 49
     seen = {}
-    for f, c, e in zip(unit.first, unit.count, unit.entry):
-        seen.setdefault(b[f : f + c + 49], set()).add(int(e))
+    for f, c, e in zip(unit.first, unit.count, zip(unit.head.tolist(), unit.content.tolist())):
+        seen.setdefault(b[f : f + c + 49], set()).add(e)
     assert all(len(v) == 1 for v in seen.values())

@@ -254,7 +254,7 @@ def repeated_windows(
     distinct runs, see the operators; ``finish(unit, covered)`` makes the result's rows of a unit, of schema ``result``."""
     cores = docs.sparkSession.sparkContext.defaultParallelism
     parts = parts or parts_for(docs, EACH, cores)
-    buckets, shards = max(parts // 4, min(parts, cores)), max(parts // 2, min(parts, cores))
+    buckets, shards = max(parts // 4, min(parts, cores)), parts
     key = F.coalesce(F.col("doc_id"), F.lit(int(LAST)))
     unit = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(parts)).cast("int")
     rows = docs.select("doc_id", "text", key.alias("key"), unit.alias("unit"))
@@ -301,10 +301,11 @@ def repeated_windows(
         table = table.sort_by("unit")
         found = [_bytes(table[n], d) for n, d in (("length", np.int32), ("least", np.int64), ("times", np.int8), ("content", np.uint8 if spec.kind == "byte" else U64))]
         cuts = np.cumsum([0, *map(len, found[0])])
+        hashes = np.concatenate([RunHash(x).of(np.cumsum(n) - n, np.cumsum(n)) for x, n in zip(found[3], found[0])])
         length, least, times, content = map(np.concatenate, found)
         length = length.astype(np.int64)
         first = np.cumsum(length) - length
-        entry, sample = distinct_runs(content, first, length, RunHash(content).of(first, first + length), length.astype(U64))
+        entry, sample = distinct_runs(content, first, length, hashes, length.astype(U64))
         # the distinct runs, each where the first unit that has it sent it
         order = np.argsort(sample)
         sample, place = sample[order], np.empty(len(order), np.int64)

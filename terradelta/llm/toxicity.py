@@ -2,20 +2,23 @@
 
 A text is lower-cased and cut to words; all windows of ``WINDOW`` words, each half
 over the one before, are scored, and the text's score is that of its highest window.
-A word's input is the embedding of its hash, the mean embedding of its character
-grams (three to five bytes, and its beginnings), and log odds of both, counted on the
-fitting rows.  The network is trained here in numpy by back-propagation through time.
+A word's input is its embedding, if it is one of the words that stand in ``COMMON``
+fitting texts at least, and the last state of a second, character-level GRU that reads
+its bytes.  A forward and a backward GRU read the window, attention weighs their states,
+and a linear layer gives the window's logit.  No statistic of words enters: what
+is toxic is learned by back-propagation, in numpy, from the labels of whole texts: first
+on any window of a text, then on the one that the network scores highest.
 
 Only rows of ``labels`` whose crc32(doc_id as text) mod 4 is not 2 are learned from,
 at most ``SAMPLE`` of either class, taken in hash order; these texts are what reaches
 the driver.  A third of them is kept from the network to fit the scale of the final
 score, weighted to the classes' shares among all rows that may be learned from.
-While learning, a row's own counts are taken out of its log odds.
 
-Defined cases: null or empty text gets the score of an empty window; labels that are
-null or of unknown documents teach nothing; without a row of each class every score
-is the share of label 1 (0 if there are no labels); rows with one doc_id are rows of
-their own; extra columns are ignored; an empty table gives no rows.
+Defined cases: null or empty text gets the score of an empty window; a word of more than
+``LETTERS`` bytes counts as several; labels that are null or of unknown documents teach
+nothing; without a row of each class every score is the share of label 1 (0 if there
+are no labels); rows with one doc_id are rows of their own, the least text among them is
+learned from; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,21 +30,26 @@ from pyspark.sql import functions as F
 
 from .common import table, with_columns_of
 from .decontamination import BREAK, LOWER
-from .kernels import U64, RunHash, ranges, slices, utf8, words
+from .kernels import U64, ranges, slices, span_hashes, utf8, words
 
 WINDOW = 64
 STRIDE = 32
-HIDDEN = 8
-WIDTH = 6
-BUCKETS = 1 << 14
-ODDS = 1 << 16
+#: Widths: states of a direction, word embedding, character embedding and states.
+HIDDEN = 12
+WIDTH = 8
+SPELL = 8
+LETTERS = 16
+#: Fitting texts that a word must stand in to have an embedding.
+COMMON = 3
 SAMPLE = 1500
-#: Texts worked on at a time while fitting.
-BLOCK = 50
 THRESHOLD = 0.3
-EPOCHS = 4
-#: Steps of training at least, however few the windows.
-STEPS = 240
+EPOCHS = 12
+BATCH = 64
+#: Steps of training at least, however few the texts.
+STEPS = 400
+#: Share of words read by their spelling alone while learning, and how fast embeddings shrink.
+FORGET = 0.2
+DECAY = 0.02
 
 
 def held_out(doc_id):
@@ -49,39 +57,27 @@ def held_out(doc_id):
 
 
 class Text:
-    """A batch of texts: distinct words, their grams, and every word's index."""
+    """A batch of texts: distinct words with their letters, and every word's index.  Words of more than LETTERS bytes are read in pieces."""
 
     def __init__(self, column: pa.Array):
         data, offsets = utf8(column)
         data = LOWER[data]
-        starts, ends, self.at = words(data, offsets, BREAK)
-        run = RunHash(data)
-        self.hash, sample, self.word = np.unique(run.of(starts, ends), return_index=True, return_inverse=True)
-        s, e = starts[sample], ends[sample]
-        n = len(s)
-        grams, owner = [], []
-        for size in (3, 4, 5):
-            count = np.maximum(e - s - size + 1, 0)
-            at = ranges(s, count)
-            grams.append(run.of(at, at + size))
-            owner.append(np.repeat(np.arange(n), count))
-        for size in (3, 4, 6):  # beginnings, under names of their own
-            has = np.flatnonzero(e - s >= size)
-            grams.append(run.of(s[has], s[has] + size) ^ U64(0x5555555555555555))
-            owner.append(has)
-        grams.append(self.hash ^ U64(0x3333333333333333))  # each word has one gram at least
-        owner.append(np.arange(n))
-        grams, owner = np.concatenate(grams), np.concatenate(owner)
-        order = np.argsort(owner, kind="stable")
-        self.gram, self.gram_word = grams[order], owner[order]
-        self.gram_at = np.searchsorted(self.gram_word, np.arange(n + 1))
-
-    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        starts, ends, at = words(data, offsets, BREAK)
+        pieces = -(-(ends - starts) // LETTERS)
+        first = ranges(np.zeros(len(starts), np.int64), pieces) * LETTERS + np.repeat(starts, pieces)
+        last = np.minimum(first + LETTERS, np.repeat(ends, pieces))
+        self.at = np.concatenate([[0], np.cumsum(pieces)])[at]
+        self.hash, sample, self.word = np.unique(span_hashes(data, first, last), return_index=True, return_inverse=True)
+        s, self.size = first[sample], (last - first)[sample]
+        place = np.arange(LETTERS)[:, None]
+        self.letters = data[np.minimum(s + place, max(0, len(data) - 1))] if len(s) else np.zeros((LETTERS, 0), np.uint8)
+
+    def windows(self, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Text, first word and number of words of every window; an empty text has one of none."""
         n = np.diff(self.at)
-        count = np.maximum(1, -(-np.maximum(n - WINDOW, 0) // STRIDE) + 1)
+        count = np.maximum(1, -(-np.maximum(n - WINDOW, 0) // stride) + 1)
         doc = np.repeat(np.arange(len(n)), count)
-        begin = (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)) * STRIDE
+        begin = (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)) * stride
         return doc, self.at[doc] + begin, np.minimum(WINDOW, n[doc] - begin)
 
 
@@ -89,13 +85,6 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def log_odds(with1, with0, n1, n0):
-    """Shrunk toward 0 where few texts hold the word."""
-    x = np.log((with1 + 0.5) / (n1 + 1.0)) - np.log((with0 + 0.5) / (n0 + 1.0))
-    n = with1 + with0
-    return (np.clip(x, -4, 4) * n / (n + 4)).astype(np.float32)
-
-
 class Gru:
     """One direction: inputs are projections (T, B, 3H); a masked step keeps the state."""
 
@@ -139,31 +128,31 @@ class Gru:
 
 class Network:
     def __init__(self, seed: int = 7):
-        r = np.random.default_rng(seed)
-        f = lambda *s, k=0.3: (r.standard_normal(s) * k).astype(np.float32)
-        h, x = HIDDEN, 2 * WIDTH + 3
-        self.p = {"word": f(BUCKETS, WIDTH, k=0.05), "gram": f(BUCKETS, WIDTH, k=0.05), "in": f(x, 6 * h), "bias": np.zeros(6 * h, np.float32), "uf": f(h, 3 * h), "ub": f(h, 3 * h), "att": f(2 * h, 8), "v": f(8), "out": f(2 * h), "b": np.zeros(1, np.float32)}
-        self.moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
+        self.random = np.random.default_rng(seed)
+        f = lambda *s, k=0.3: (self.random.standard_normal(s) * k).astype(np.float32)
+        h, c = HIDDEN, SPELL
+        self.p = {
+            "char": f(256, c), "cin": f(c, 3 * c), "cbias": np.zeros(3 * c, np.float32), "cu": f(c, 3 * c),
+            "word": np.zeros((1, WIDTH), np.float32), "in": f(WIDTH + c, 6 * h), "bias": np.zeros(6 * h, np.float32), "uf": f(h, 3 * h), "ub": f(h, 3 * h),
+            "att": f(2 * h, 8), "v": f(8), "out": f(2 * h), "b": np.zeros(1, np.float32),
+        }
         self.step = 0
-        self.odds_hash, self.odds_word, self.odds_gram = np.zeros(0, U64), np.zeros(0, np.float32), np.zeros(ODDS, np.float32)
+        self.known = np.zeros(0, U64)
         self.scale, self.shift, self.prior = 1.0, 0.0, None
 
-    def embed(self, text: Text) -> np.ndarray:
-        """Both embeddings of every distinct word."""
-        n = np.maximum(1, np.diff(text.gram_at))[:, None]
-        grams = np.add.reduceat(self.p["gram"][(text.gram % U64(BUCKETS)).astype(np.int64)], text.gram_at[:-1], axis=0) / n if len(text.hash) else np.zeros((0, WIDTH), np.float32)
-        return np.concatenate([self.p["word"][(text.hash % U64(BUCKETS)).astype(np.int64)], grams.astype(np.float32)], 1)
+    def ids(self, hashes: np.ndarray) -> np.ndarray:
+        """The row of each word in the embedding; 0 for words that aren't known."""
+        if not len(self.known):
+            return np.zeros(len(hashes), np.int64)
+        i = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+        return np.where(self.known[i] == hashes, i + 1, 0)
 
-    def odds(self, text: Text) -> np.ndarray:
-        """Log odds of every distinct word: its own, the highest and the mean of its grams."""
-        if not len(text.hash):
-            return np.zeros((0, 3), np.float32)
-        own = np.zeros(len(text.hash), np.float32)
-        if len(self.odds_hash):
-            i = np.minimum(np.searchsorted(self.odds_hash, text.hash), len(self.odds_hash) - 1)
-            own = np.where(self.odds_hash[i] == text.hash, self.odds_word[i], 0)
-        g = self.odds_gram[(text.gram % U64(ODDS)).astype(np.int64)]
-        return np.stack([own, np.maximum.reduceat(g, text.gram_at[:-1]), np.add.reduceat(g, text.gram_at[:-1]) / np.diff(text.gram_at)], 1).astype(np.float32)
+    def spelled(self, letters, size, keep=False):
+        """The state after a word's last letter, of every word."""
+        t = int(size.max(initial=1))
+        table = self.p["char"] @ self.p["cin"] + self.p["cbias"]
+        out, saved = Gru.forward(table[letters[:t]], self.p["cu"], np.arange(t)[:, None] < size, keep)
+        return out[-1], saved
 
     def pool(self, h, mask):
         a = np.tanh(h @ self.p["att"])
@@ -178,15 +167,25 @@ class Network:
         b, sb = Gru.forward(proj[::-1, :, 3 * h :], self.p["ub"], mask[::-1], keep)
         return np.concatenate([f, b[::-1]], 2), sf, sb
 
-    def logits(self, text: Text) -> tuple[np.ndarray, np.ndarray]:
+    def inputs(self, text: Text) -> np.ndarray:
+        """Word embedding and spelling of every distinct word."""
+        out = np.empty((len(text.hash), WIDTH + SPELL), np.float32)
+        out[:, :WIDTH] = self.p["word"][self.ids(text.hash)]
+        order = np.argsort(text.size, kind="stable")  # words of like length go together
+        for i in range(0, len(order), 4096):
+            w = order[i : i + 4096]
+            out[w, WIDTH:] = self.spelled(text.letters[:, w], text.size[w])[0]
+        return out
+
+    def logits(self, text: Text, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
         """Text and logit of every window."""
-        doc, first, n = text.windows()
-        table = np.concatenate([self.embed(text), self.odds(text)], 1) @ self.p["in"] + self.p["bias"]
+        doc, first, n = text.windows(stride)
+        table = self.inputs(text) @ self.p["in"] + self.p["bias"]
         table = np.concatenate([table, np.zeros((1, 6 * HIDDEN), np.float32)]).astype(np.float32)
         out = np.empty(len(doc), np.float32)
         order = np.argsort(n, kind="stable")
-        for i in range(0, len(order), 4096):
-            w = order[i : i + 4096]
+        for i in range(0, len(order), 2048):
+            w = order[i : i + 2048]
             place = np.arange(max(1, int(n[w].max())))[:, None]
             mask = place < n[w]
             index = np.where(mask, text.word[np.minimum(first[w] + place, len(text.word) - 1)] if len(text.word) else 0, len(table) - 1)
@@ -205,11 +204,11 @@ class Network:
         out = [self.highest(Text(column.slice(i, j - i))) for i, j in slices(offsets, 1 << 20)]
         return sigmoid(self.scale * np.concatenate(out).astype(float) + self.shift) if out else np.zeros(0)
 
-    def learn(self, texts: list[str], labels: np.ndarray, share: float, seed: int = 11) -> None:
+    def learn(self, texts: list[str], labels: np.ndarray, share: float) -> None:
         if len(set(labels.tolist())) < 2:
             self.prior = float(share)
             return
-        r = np.random.default_rng(seed)
+        r = self.random
         part = r.permutation(len(texts)) % 3 == 0
         if len(set(labels[part].tolist())) < 2 or len(set(labels[~part].tolist())) < 2:
             part[:] = False
@@ -217,50 +216,31 @@ class Network:
         text = Text(pa.array([texts[i] for i in fit], pa.large_string()))
         y = labels[fit]
         doc_of = np.repeat(np.arange(len(fit)), np.diff(text.at))
-        n1, n0 = int(y.sum()), int(len(y) - y.sum())
-        # in how many texts of either class a word, or a gram's bucket, stands
-        pairs = np.unique(doc_of * np.int64(len(text.hash)) + text.word)
-        d, w = np.divmod(pairs, max(1, len(text.hash)))
-        c1, c0 = (np.bincount(w, y[d] == k, minlength=len(text.hash)) for k in (1, 0))
-        self.odds_hash, self.odds_word = text.hash, log_odds(c1, c0, n1, n0)
-        bucket = (text.gram % U64(ODDS)).astype(np.int64)
-        own1 = y[d] == 1
-        # (text, gram) pairs are many times the (text, word) pairs: they are worked on some texts at a time
-        blocks = np.searchsorted(d, np.arange(0, len(fit) + BLOCK, BLOCK))
-        blocks = [slice(i, j) for i, j in zip(blocks, blocks[1:]) if j > i]
-        sizes = np.diff(text.gram_at)
-        spread = lambda rows: (bucket[ranges(text.gram_at[w[rows]], sizes[w[rows]])], sizes[w[rows]])
-        g1, g0 = np.zeros(ODDS, np.int64), np.zeros(ODDS, np.int64)
-        for rows in blocks:
-            gi, many = spread(rows)
-            gd, gb = np.divmod(np.unique(np.repeat(d[rows], many) * np.int64(ODDS) + gi), ODDS)
-            g1 += np.bincount(gb[y[gd] == 1], minlength=ODDS)
-            g0 += np.bincount(gb[y[gd] == 0], minlength=ODDS)
-        self.odds_gram = log_odds(g1, g0, n1, n0)
-        # per (text, word): the log odds without the text itself
-        pair_odds = np.zeros((len(w), 3), np.float32)
-        pair_odds[:, 0] = log_odds(c1[w] - own1, c0[w] - ~own1, n1 - own1, n0 - ~own1)
-        for rows in blocks:
-            gi, many = spread(rows)
-            mine = np.repeat(own1[rows], many)
-            g = log_odds(g1[gi] - mine, g0[gi] - ~mine, n1 - mine, n0 - ~mine)
-            edge = np.cumsum(many) - many
-            pair_odds[rows, 1], pair_odds[rows, 2] = np.maximum.reduceat(g, edge), np.add.reduceat(g, edge) / many
-        odds = pair_odds[np.searchsorted(pairs, doc_of * np.int64(len(text.hash)) + text.word)]
-        # a text's label is about one window of it: the one with most evidence; clean texts also give any one
+        # words that stand in few of the texts would only let the network know these by heart
+        pairs = np.unique(doc_of * np.int64(max(1, len(text.hash))) + text.word)
+        self.known = text.hash[np.bincount(pairs % max(1, len(text.hash)), minlength=len(text.hash)) >= COMMON]
+        self.p["word"] = (r.standard_normal((len(self.known) + 1, WIDTH)) * 0.1).astype(np.float32)
+        self.p["word"][0] = 0
+        self.moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
+        ids = self.ids(text.hash)
         doc, first, n = text.windows()
-        total = np.concatenate([[0], np.cumsum(np.maximum(odds[:, 0] - 1, 0) + np.maximum(odds[:, 2] - 1, 0))])
-        evidence = total[first + n] - total[first]
-        order = np.lexsort((evidence, doc))
-        top = order[np.append(doc[order][1:] != doc[order][:-1], True)]
-        any_one = r.permutation(len(doc))[: len(fit)]
-        chosen = np.unique(np.concatenate([top, any_one[y[doc[any_one]] == 0]]))
-        size = 192 if len(chosen) > 4000 else 64
-        for _ in range(max(EPOCHS, -(-STEPS * size // len(chosen)))):
-            for batch in np.array_split(r.permutation(chosen), max(1, len(chosen) // size)):
-                self.train(text, odds, first[batch], n[batch], y[doc[batch]].astype(np.float32))
+        begin = np.searchsorted(doc, np.arange(len(fit)))
+        many = np.diff(np.append(begin, len(doc)))
+        epochs = max(EPOCHS, -(-STEPS * BATCH // max(1, len(fit))))
+        for epoch in range(epochs):
+            some = begin + (r.random(len(fit)) * many).astype(np.int64)
+            if epoch < epochs // 3:
+                chosen = some
+            else:  # a text is as toxic as its highest window; clean texts also give any one
+                _, x = self.logits(text)
+                order = np.lexsort((x, doc))
+                top = order[np.append(doc[order][1:] != doc[order][:-1], True)]
+                chosen = np.concatenate([top, some[y == 0]])
+            chosen = r.permutation(chosen)
+            for batch in np.array_split(chosen, max(1, len(chosen) // BATCH)):
+                self.train(text, ids, first[batch], n[batch], y[doc[batch]].astype(np.float32), epoch / epochs)
         cal = np.flatnonzero(part) if part.any() else fit
-        x = np.concatenate([self.highest(Text(pa.array([texts[i] for i in c], pa.large_string()))) for c in np.array_split(cal, max(1, len(cal) // BLOCK))]).astype(float)
+        x = np.concatenate([self.highest(Text(pa.array([texts[i] for i in c], pa.large_string()))) for c in np.array_split(cal, max(1, len(cal) // 50))]).astype(float)
         self.calibrate(x, labels[cal], share)
 
     def calibrate(self, x, y, share):
@@ -275,24 +255,27 @@ class Network:
             a, b = a - step[0], b - step[1]
         self.scale, self.shift = max(0.05, float(a)), float(b)
 
-    def train(self, text, odds, first, n, y):
+    def train(self, text, ids, first, n, y, progress=0.0, forget=FORGET):
         t = max(1, int(n.max()))
         place = np.arange(t)[:, None]
         mask = place < n
         where = np.where(mask, first + place, 0)
-        used, index = np.unique(text.word[where], return_inverse=True)
+        used, index = np.unique(text.word[where] if len(text.word) else where, return_inverse=True)
         index = index.reshape(where.shape)
-        many = np.diff(text.gram_at)[used]
-        grams = (text.gram[ranges(text.gram_at[used], many)] % U64(BUCKETS)).astype(np.int64)
-        ids = (text.hash[used] % U64(BUCKETS)).astype(np.int64)
-        edge = np.cumsum(many) - many
-        e = np.concatenate([self.p["word"][ids], np.add.reduceat(self.p["gram"][grams], edge, axis=0) / many[:, None]], 1)
-        x = np.concatenate([e[index], odds[where]], 2).astype(np.float32) * mask[:, :, None]
+        if not len(text.hash):
+            return
+        row = ids[used]
+        if forget:  # some words only by their spelling, so that this tells of words unseen
+            row = np.where(self.random.random(len(row)) < forget, 0, row)
+        letters, size = text.letters[:, used], text.size[used]
+        spelling, sc = self.spelled(letters, size, True)
+        e = np.concatenate([self.p["word"][row], spelling], 1)
+        x = (e[index] * mask[:, :, None]).astype(e.dtype)
         proj = x @ self.p["in"] + self.p["bias"]
         h, sf, sb = self.run(proj, mask, True)
         a, w, c, logit = self.pool(h, mask)
-        d = ((sigmoid(logit) - y) / len(y)).astype(np.float32)
-        grad = {"out": c.T @ d, "b": np.array([d.sum()], np.float32)}
+        d = ((sigmoid(logit) - y) / len(y)).astype(e.dtype)
+        grad = {"out": c.T @ d, "b": np.array([d.sum()])}
         dc = d[:, None] * self.p["out"]
         dw = np.einsum("bh,tbh->tb", dc, h)
         de = w * (dw - (w * dw).sum(0))
@@ -305,20 +288,28 @@ class Network:
         dpb, grad["ub"] = Gru.backward(dh[::-1, :, k:], self.p["ub"], sb)
         dp = np.concatenate([dpf, dpb[::-1]], 2)
         grad["in"], grad["bias"] = np.einsum("tbx,tbp->xp", x, dp), dp.sum((0, 1))
-        dx = (dp @ self.p["in"].T)[:, :, : 2 * WIDTH] * mask[:, :, None]
-        de = np.zeros((len(used), 2 * WIDTH), np.float32)
-        np.add.at(de, index.ravel(), dx.reshape(-1, 2 * WIDTH))
-        grad["word"], grad["gram"] = np.zeros_like(self.p["word"]), np.zeros_like(self.p["gram"])
-        np.add.at(grad["word"], ids, de[:, :WIDTH])
-        np.add.at(grad["gram"], grams, np.repeat(de[:, WIDTH:] / many[:, None], many, axis=0))
+        dx = (dp @ self.p["in"].T) * mask[:, :, None]
+        de = np.zeros((len(used), e.shape[1]), e.dtype)
+        np.add.at(de, index.ravel(), dx.reshape(-1, e.shape[1]))
+        grad["word"] = np.zeros_like(self.p["word"])
+        np.add.at(grad["word"], row, de[:, :WIDTH])
+        grad["word"][0] = 0
+        last = np.zeros((len(sc), len(used), SPELL), e.dtype)
+        last[-1] = de[:, WIDTH:]
+        dpc, grad["cu"] = Gru.backward(last, self.p["cu"], sc)
+        seen = np.arange(len(sc))[:, None] < size
+        dtable = np.zeros((256, 3 * SPELL), e.dtype)
+        np.add.at(dtable, letters[: len(sc)][seen], dpc[seen])
+        grad["cbias"], grad["cin"], grad["char"] = dtable.sum(0), self.p["char"].T @ dtable, dtable @ self.p["cin"].T
         self.step += 1
-        for name, g in grad.items():  # Adam
+        for name, g in grad.items():  # Adam, slower toward the end
             m, v = self.moment[name]
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
-            # the embeddings learn slowly, or they know each text by heart before the evidence counts
-            rate = 0.0005 if name in ("word", "gram") else 0.01
-            self.p[name] -= (rate * (m / (1 - 0.9**self.step)) / (np.sqrt(v / (1 - 0.99**self.step)) + 1e-8)).astype(np.float32)
+            rate = 0.01 * (1 - 0.9 * progress)
+            if name == "word":
+                self.p[name] *= 1 - rate * DECAY
+            self.p[name] -= (rate * (m / (1 - 0.9**self.step)) / (np.sqrt(v / (1 - 0.99**self.step)) + 1e-8)).astype(self.p[name].dtype)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
@@ -336,7 +327,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
     if rows:
         wanted = dict(rows)
         chosen = with_columns_of(docs, "doc_id", "text").join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in wanted], "doc_id long")), "doc_id", "left_semi")
-        got = sorted({(r["doc_id"], r["text"] or "") for r in chosen.toLocalIterator()})
+        one = chosen.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+        got = sorted((r["doc_id"], r["text"]) for r in one.toLocalIterator())
         network.learn([t for _, t in got], np.array([wanted[i] for i, _ in got], np.int64), share)
     else:
         network.prior = 0.0
@@ -345,7 +337,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
 
 def score_documents(docs: DataFrame, network: Network) -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
-    model = docs.sparkSession.sparkContext.broadcast({k: v for k, v in network.__dict__.items() if k != "moment"})
+    model = docs.sparkSession.sparkContext.broadcast({k: v for k, v in network.__dict__.items() if k not in ("moment", "random")})
 
     def run(batches):
         n = Network.__new__(Network)
@@ -360,7 +352,7 @@ def score_documents(docs: DataFrame, network: Network) -> DataFrame:
 
 def without_toxic(docs: DataFrame, network: Network) -> DataFrame:
     """The rows of docs that the network doesn't reject, each decided on by its own text; all columns stay."""
-    model = docs.sparkSession.sparkContext.broadcast({k: v for k, v in network.__dict__.items() if k != "moment"})
+    model = docs.sparkSession.sparkContext.broadcast({k: v for k, v in network.__dict__.items() if k not in ("moment", "random")})
     at = [c.lower() for c in docs.columns].index("text")
 
     def run(batches):

@@ -30,9 +30,13 @@ def parts_for(df: DataFrame, each: int = 4 << 20, least: int = 1) -> int:
 
 
 def with_checkpoints(spark: SparkSession) -> None:
-    """Uses the shared folder of ``spark.checkpoint.dir``; only a session without one (a test) gets a local folder."""
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    """Uses the shared folder of ``spark.checkpoint.dir``; only a session in one process (a test) may be without one."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
 
 
 def cut(df: DataFrame) -> DataFrame:

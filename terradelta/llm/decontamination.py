@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, table, with_columns_of
-from .kernels import U64, slices, utf8, word_hashes
+from .kernels import U64, ranges, slices, utf8, word_hashes
 
 WINDOW = 13
 #: Bytes of item text in a block, and distinct terms up to which the index keeps the items' terms alone.
@@ -138,9 +138,28 @@ def occurrences(shard: Shard, item: np.ndarray, window: int) -> Iterator[tuple[n
                 yield first, w
 
 
+class Block:
+    """Items, and their windows by term: which items a shard can hold at all is told without looking at each."""
+
+    def __init__(self, items: list[tuple[str, np.ndarray]], window: int):
+        self.items = items
+        size = np.array([len(x) for _, x in items], np.int64)
+        self.terms, self.term = np.unique(np.concatenate([x for _, x in items]), return_inverse=True)
+        width = np.minimum(window, size)
+        self.owner = np.repeat(np.arange(len(items)), size - width + 1)
+        self.begin = ranges(np.cumsum(size) - size, size - width + 1)
+        self.end = self.begin + width[self.owner]
+
+    def candidates(self, terms: np.ndarray) -> np.ndarray:
+        """The items with a window all of whose terms are among the sorted ones given."""
+        i = np.minimum(np.searchsorted(terms, self.terms), len(terms) - 1)
+        total = np.concatenate([[0], np.cumsum((terms[i] == self.terms)[self.term])]) if len(terms) else np.zeros(len(self.term) + 1)
+        return np.unique(self.owner[total[self.end] - total[self.begin] == self.end - self.begin])
+
+
 def phrase_matches(index: DataFrame, items: list[tuple[str, np.ndarray]], window: int = WINDOW) -> DataFrame:
     """The index with the hits of a block of items (id, term hashes) added."""
-    block = index.sparkSession.sparkContext.broadcast(items)
+    block = index.sparkSession.sparkContext.broadcast(Block(items, window))
 
     def search(batches):
         for b in batches:
@@ -148,7 +167,7 @@ def phrase_matches(index: DataFrame, items: list[tuple[str, np.ndarray]], window
                 shard = Shard(row)
                 step = np.zeros(len(row["hit"]) + 1, np.int64)
                 found = {(x["doc"], x["item"]) for x in row["found"]}
-                for name, item in block.value:
+                for name, item in (block.value.items[i] for i in block.value.candidates(shard.terms)):
                     for first, w in occurrences(shard, item, window):
                         np.add.at(step, first, 1)
                         np.add.at(step, first + w, -1)
@@ -200,11 +219,15 @@ def item_blocks(benchmark: DataFrame, block: int = BLOCK) -> Iterator[list[tuple
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted ids with occurring windows), spans (hit word runs) of every row of docs."""
-    blocks = list(item_blocks(benchmark, block))
-    terms = np.unique(np.concatenate([h for b in blocks for _, h in b])) if blocks else np.zeros(0, U64)
-    index = cut(positional_index(docs, terms if len(terms) <= TERMS else None))
-    for b in blocks:
-        index = phrase_matches(index, b, window)
+    terms: np.ndarray | None = np.zeros(0, U64)
+    for b in item_blocks(benchmark, block):  # the driver holds one block at a time, and terms up to the bound
+        terms = np.union1d(terms, np.concatenate([h for _, h in b]))
+        if len(terms) > TERMS:
+            terms = None
+            break
+    index = cut(positional_index(docs, terms))
+    for i, b in enumerate(item_blocks(benchmark, block)):
+        index = phrase_matches(cut(index) if i else index, b, window)
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def rows(batches):

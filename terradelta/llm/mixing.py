@@ -7,8 +7,9 @@ r = exp(lambda of its source), and the convex dual separates by source:
 
     D(lambda) = mass * exp(lambda) - target * lambda
 
-The masses come from one distributed aggregate over all documents; all sources'
-Newton steps lambda -= D' / D'' then run side by side on the table of sources.  As
+The masses come from one distributed aggregate over all documents; as no constraint
+names two sources, the Hessian is diagonal and all sources' Newton steps
+lambda -= D' / D'' run side by side on the table of sources.  As
 targets stop at twice the mass, no rate exceeds two.  Rates become whole copies by
 error diffusion: in groups of a source's documents, largest first, each document
 gets the rate's floor or one more, whichever keeps the words taken nearest to the
@@ -16,7 +17,7 @@ rate's share so far; the error left in a group is below its smallest documents.
 
 Defined cases: null text has size 0; null is a source of its own and the last one;
 documents of size 0 take 0; a source without words has target 0; repeated rows are
-rows of their own; extra columns are ignored; an empty table gives no rows.
+rows of their own, rounded in one group; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ MOST = 2.0
 STEPS = 64
 #: Documents in a rounding group.
 GROUP = 4096
+#: Sources up to which their table is broadcast; beyond, the join is one that Spark splits on skew.
+SMALL = 20_000
 
 
 def sizes(docs: DataFrame, carry: tuple = ()) -> DataFrame:
@@ -75,7 +78,7 @@ def tilts(targets: DataFrame, steps: int = STEPS) -> DataFrame:
     """Adds rate = exp(lambda), lambda by Newton's method on each source's dual."""
     mass, target = F.col("source_size").cast("double"), F.col("target")
     newton = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(0.0), lambda x, _: x - (mass * F.exp(x) - target) / (mass * F.exp(x)))
-    return targets.withColumn("rate", F.when((mass > 0) & (target > 0), F.least(F.exp(newton), F.lit(MOST))).otherwise(F.lit(0.0)))
+    return targets.withColumn("rate", F.when((mass > 0) & (target > 0), F.least(F.round(F.exp(newton), 12), F.lit(MOST))).otherwise(F.lit(0.0)))
 
 
 def copies(size: np.ndarray, rate: float) -> np.ndarray:
@@ -97,9 +100,12 @@ def copies(size: np.ndarray, rate: float) -> np.ndarray:
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, carry: tuple = ()) -> DataFrame:
     """doc_id, source, size, source_size, target, rate, copies of every row, and the long columns to carry, which order rows of one doc_id."""
     rows = cut(sizes(docs, carry))
-    state = tilts(source_targets(rows, weights, share)).withColumn("same", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).drop("source")
+    state = cut(tilts(source_targets(rows, weights, share)).withColumn("same", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).drop("source"))
+    if state.limit(SMALL + 1).count() <= SMALL:
+        state = F.broadcast(state)
     rows = rows.withColumn("same", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).join(state, "same")
-    salt = F.pmod(F.xxhash64("doc_id", "size"), F.ceil(F.col("n_docs") / GROUP))
+    name = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "size", *carry)
+    salt = F.pmod(F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long"), F.ceil(F.col("n_docs") / GROUP))
 
     def round_group(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "doc_id", *carry], ascending=[False] + [True] * (1 + len(carry)), kind="stable")

@@ -10,8 +10,11 @@ however far away.  Loopy belief propagation runs on all documents of a batch at
 a token whose most likely kind has probability ``SURE`` becomes a span.
 
 The weights are fitted in numpy on at most ``SAMPLE`` documents with such tokens, in
-hash order, labelled by the patterns: a multinomial logistic model of token features
-for the unary potentials, and smoothed log ratios of counts for the others.
+hash order, labelled by the patterns.  Unary weights of token features and the three
+tables of pair potentials are learned together, by the pseudo-likelihood of each token
+given its features and the labels of the tokens it is linked to.  ``HIDE`` of the tokens
+are read without their features: else these, which the patterns see too, would explain
+every label and nothing would be learned of the links.
 
 Defined cases: null or empty text has no spans; offsets count code points; a text of
 any length is read whole; repeated rows are rows of their own; extra columns are
@@ -32,18 +35,21 @@ from .common import table, with_columns_of
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 2000
-SURE = 0.9
+SURE = 0.5
 ROUNDS = 12
 FEATURES = 1 << 12
 
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+#: Share of tokens whose features are hidden while fitting.
+HIDE = 0.3
+
+# Every pattern takes a maximal run once, whether it matches or not, so that texts of any length take linear time.
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]++(@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+)?")
+IP = re.compile(r"[0-9]++(\.[0-9]++\.[0-9]++\.[0-9]++)?")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 SIGN = re.compile(r"[0-9@]")
-TOKEN = re.compile(r"[^\s\"'<>|,;:=]*[0-9@][^\s\"'<>|,;:=]*")
+TOKEN = re.compile(r"([^\s\"'<>|,;:=0-9@]*+[0-9@][^\s\"'<>|,;:=]*+)|[^\s\"'<>|,;:=]++")
 NOT_DIGIT = re.compile(r"[^0-9]+")
-HINT = re.compile(r"\+[0-9]|[0-9]{13}|[0-9]\.[0-9]+\.[0-9]+\.[0-9]")
 EDGE = "().!?*#$%&[]{}"
 
 
@@ -63,8 +69,9 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) by kind, then start."""
     out = []
     if "@" in text:
-        out += [("email", m.start(), m.end()) for m in EMAIL.finditer(text)]
-    out += [("ip", m.start(), m.end()) for m in IP.finditer(text) if small_parts(m.group())]
+        out += [("email", m.start(), m.end()) for m in EMAIL.finditer(text) if m[1]]
+    if "." in text:
+        out += [("ip", m.start(), m.end()) for m in IP.finditer(text) if m[1] and small_parts(m.group())]
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 13:
             digits = NOT_DIGIT.sub("", m.group())
@@ -86,7 +93,7 @@ class Tokens:
         self.span, self.features, self.label, self.links = [], [], [], []
         kind_of = sorted((s, e, KINDS.index(k) + 1) for k, s, e in base)
         same, alike, b, last = {}, {}, 0, -9
-        for i, m in enumerate(TOKEN.finditer(text)):
+        for i, m in enumerate(x for x in TOKEN.finditer(text) if x[1]):
             word = m.group().strip(EDGE)
             start = m.start() + len(m.group()) - len(m.group().lstrip(EDGE))
             end = start + len(word)
@@ -95,7 +102,7 @@ class Tokens:
             label = next((k for s, e, k in kind_of[b : b + 3] if s < end and e > start), 0)
             digits = NOT_DIGIT.sub("", word)
             shape = re.sub(r"[A-Za-z]+", "a", re.sub(r"[0-9]+", lambda x: f"9{min(20, len(x.group()))}", word))
-            checks = f"{len(digits)}|{13 <= len(digits) <= 19 and luhn(digits)}|{word.count('.') == 3 and IP.fullmatch(word) is not None and small_parts(word)}|{EMAIL.fullmatch(word) is not None}"
+            checks = f"{len(digits)}|{13 <= len(digits) <= 19 and luhn(digits)}|{word.count('.') == 3 and (ip := IP.match(word)) is not None and ip.end() == len(word) and small_parts(word)}|{(at := EMAIL.match(word)) is not None and bool(at[1]) and at.end() == len(word)}"
             before = text[max(0, m.start() - 2) : m.start()].strip() or "_"
             names = (f"s{shape[:24]}", f"c{checks}", f"p{text[m.start() - 1 : m.start()]}", f"n{before[-1:]}", f"l{min(40, len(word))}", "bias")
             self.features.append([zlib.crc32(x.encode()) % FEATURES for x in names])
@@ -123,49 +130,54 @@ class Field:
         self.unary = np.zeros((FEATURES, k))
         self.pair = np.zeros((3, k, k))
 
-    def fit(self, docs: list[Tokens], rounds: int = 150) -> None:
+    def fit(self, docs: list[Tokens], rounds: int = 400, seed: int = 3) -> None:
         k = len(KINDS) + 1
-        features = np.array([f for d in docs for f in d.features], np.int64).reshape(-1, 6)
-        label = np.array([x for d in docs for x in d.label], np.int64)
+        features, label, src, dst, kind = self.graph(docs)
         if not len(label):
             return
+        r = np.random.default_rng(seed)
         goal = np.eye(k)[label]
-        power = np.zeros_like(self.unary)
+        step = [np.zeros_like(self.unary), np.zeros_like(self.pair)]
         for _ in range(rounds):  # Adagrad
-            x = self.unary[features].sum(1)
+            shown = r.random(len(label)) >= HIDE
+            x = self.unary[features].sum(1) * shown[:, None]
+            near = self.pair[kind, label[src]]
+            for c in range(k):
+                x[:, c] += np.bincount(dst, near[:, c], len(label))
             p = np.exp(x - x.max(1, keepdims=True))
             d = (p / p.sum(1, keepdims=True) - goal) / len(label)
-            g = 1e-4 * self.unary
+            g, h = 1e-4 * self.unary, 1e-4 * self.pair
+            own = d * shown[:, None]
             for c in range(k):
-                g[:, c] += np.bincount(features.ravel(), np.repeat(d[:, c], features.shape[1]), FEATURES)
-            power += g * g
-            self.unary -= 0.5 * g / (np.sqrt(power) + 1e-6)
-        count = np.full((3, k, k), 0.5)
-        for d in docs:
-            for a, b, t in d.links:
-                count[t, d.label[a], d.label[b]] += 1
-                count[t, d.label[b], d.label[a]] += 1
-        share = np.bincount(label, minlength=k) + 0.5
-        share = share / share.sum()
-        joint = count / count.sum((1, 2), keepdims=True)
-        self.pair = np.log(joint / (joint.sum(2, keepdims=True) * joint.sum(1, keepdims=True)))
-        self.pair = np.clip(self.pair, -4, 4) * np.array([0.5, 1.0, 0.25])[:, None, None]
+                g[:, c] += np.bincount(features.ravel(), np.repeat(own[:, c], features.shape[1]), FEATURES)
+                h[:, :, c] += np.bincount(kind * k + label[src], d[dst, c], 3 * k).reshape(3, k)
+            h = (h + h.transpose(0, 2, 1)) / 2  # a link has no direction
+            for weights, grad, power in ((self.unary, g, step[0]), (self.pair, h, step[1])):
+                power += grad * grad
+                weights -= 0.5 * grad / (np.sqrt(power) + 1e-6)
+
+    @staticmethod
+    def graph(docs: list[Tokens]) -> tuple[np.ndarray, ...]:
+        """Features and labels of all tokens, and the links in both directions: from, to, kind; the second half turns the first."""
+        features = np.array([f for d in docs for f in d.features], np.int64).reshape(-1, 6)
+        label = np.array([x for d in docs for x in d.label], np.int64)
+        at = np.cumsum([0, *(len(d.label) for d in docs)])
+        links = np.array([(a + o, b + o, t) for d, o in zip(docs, at) for a, b, t in d.links], np.int64).reshape(-1, 3)
+        src, dst, kind = np.concatenate([links[:, [0, 1, 2]], links[:, [1, 0, 2]]]).T
+        return features, label, src, dst, kind
 
     def marginals(self, docs: list[Tokens], rounds: int = ROUNDS) -> np.ndarray:
         """Beliefs of all tokens of the documents, by damped sum-product on the whole graph."""
         k = len(KINDS) + 1
-        label = np.array([x for d in docs for x in d.label], np.int64)
-        features = np.array([f for d in docs for f in d.features], np.int64).reshape(-1, 6)
+        features, label, src, dst, kind = self.graph(docs)
         own = self.unary[features].sum(1)
         seen = label > 0
         own[seen] = np.where(np.eye(k)[label[seen]] > 0, 0.0, -30.0)
-        at = np.cumsum([0, *(len(d.label) for d in docs)])
-        links = np.array([(a + o, b + o, t) for d, o in zip(docs, at) for a, b, t in d.links], np.int64).reshape(-1, 3)
-        if not len(links):
+        if not len(src):
             belief = own
         else:
-            src, dst, kind = np.concatenate([links[:, [0, 1, 2]], links[:, [1, 0, 2]]]).T
-            back = np.concatenate([np.arange(len(links)) + len(links), np.arange(len(links))])
+            half = len(src) // 2
+            back = np.concatenate([np.arange(half) + half, np.arange(half)])
             message = np.zeros((len(src), k))
             belief = own
             for _ in range(rounds):
@@ -182,7 +194,7 @@ class Field:
         """Spans besides the base ones, per text.  Only texts with a token that isn't in a base span need inference."""
         docs, which = [], []
         for i, (text, spans) in enumerate(zip(texts, base)):
-            if spans or HINT.search(text):  # else there is no token that any kind's form comes near
+            if SIGN.search(text):  # else there is no token
                 t = Tokens(text, spans)
                 if not all(t.label):
                     docs.append(t)

@@ -18,8 +18,8 @@ threads resolve by pointer doubling, in as many joins as the logarithm of the de
 Nothing gathers a conversation in one place, however long it is.
 
 Returns per row: conv_id, turn, role, body (without quotes), n_quotes, n_linked,
-reply_to (turn or null), root (turn), depth, reply_path (zero-padded turns from the
-root on; the order of the conversation).  Only messages with a linked quote hang under
+reply_to (turn or null), root (turn), depth, reply_path (turns from the root on, each
+as 16 hex digits that sort like the numbers; the order of the conversation).  Only messages with a linked quote hang under
 another; the others are roots, so a conversation without quotes stays in turn order.
 
 Defined cases: null text counts as empty; null conv_id or turn are kept, but link to
@@ -134,6 +134,11 @@ def said_in(parsed: DataFrame, lengths: list[int]) -> DataFrame:
     return rows.mapInArrow(run, "conv_id long, turn long, said array<bigint>").select("conv_id", "turn", F.explode("said").alias("hash"))
 
 
+def path_step(turn):
+    """A whole turn, negative ones too, as text that sorts like the number."""
+    return F.lower(F.lpad(F.hex(turn.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"))
+
+
 def link_quotations(messages: DataFrame) -> DataFrame:
     parsed = cut(parse_messages(messages))
     passages = parsed.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.posexplode("quoted").alias("n", "q"))
@@ -149,7 +154,7 @@ def link_quotations(messages: DataFrame) -> DataFrame:
     per_quote = links.groupBy("conv_id", "turn", "n").agg(F.min("depth").alias("depth"), F.min(F.struct((-F.col("chars")).alias("less"), "source"))["source"].alias("source"))
     reply = cut(per_quote.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n_linked"), F.min(F.struct("depth", "n", "source"))["source"].alias("reply_to")))
     # pointer doubling: far is the ancestor reached so far, path the turns from below it down to the message
-    path = F.lpad(F.col("turn").cast("string"), 10, "0")
+    path = path_step(F.col("turn"))
     tree = reply.select("conv_id", "turn", F.col("reply_to").alias("far"), F.lit(1).alias("depth"), path.alias("path"))
     while True:
         up = tree.select("conv_id", F.col("turn").alias("far"), F.col("far").alias("next"), F.col("depth").alias("more"), F.col("path").alias("above"))
@@ -161,7 +166,7 @@ def link_quotations(messages: DataFrame) -> DataFrame:
             break
     thread = tree.join(reply, ["conv_id", "turn"]).withColumnRenamed("far", "root")
     out = parsed.select("conv_id", "turn", "role", "body", "n_quotes").join(thread, ["conv_id", "turn"], "left")
-    full = F.when(F.col("root").isNull(), path).otherwise(F.concat(F.lpad(F.col("root").cast("string"), 10, "0"), F.lit("/"), "path"))
+    full = F.when(F.col("root").isNull(), path).otherwise(F.concat(path_step(F.col("root")), F.lit("/"), "path"))
     return out.select("conv_id", "turn", "role", "body", "n_quotes", F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), "reply_to", F.coalesce("root", "turn").alias("root"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"), full.alias("reply_path"))
 
 

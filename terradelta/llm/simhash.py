@@ -104,9 +104,15 @@ def links_within(key: np.ndarray, fp: np.ndarray, distance: int = DISTANCE) -> t
     out_a, out_b = [], []
 
     def verified(x):
+        # the tally of positions at which both have one byte; pairs below the minimum are never verified
         x = np.ascontiguousarray(x)
-        shared = (x.view(np.uint8).reshape(-1, 8) == 0).sum(1)
-        return (shared >= least) & (np.bitwise_count(x) <= distance)
+        shared = np.zeros(len(x), np.int8)
+        for column in x.view(np.uint8).reshape(-1, POSITIONS).T:
+            shared += column == 0
+        out = shared >= least
+        at = np.flatnonzero(out)
+        out[at] = np.bitwise_count(x[at]) <= distance
+        return out
 
     begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     size = np.diff(np.append(begin, len(key)))

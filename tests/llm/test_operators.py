@@ -109,6 +109,13 @@ def brute_hits(text, items, window=13):
     return len(w), len(hit), sorted(names)
 
 
+def test_decontamination_tells_words_apart_that_a_polynomial_does_not(spark):
+    word = lambda flip: "".join("ab"[(i.bit_count() + flip) % 2] for i in range(1024))
+    bench = spark.createDataFrame([(1, word(0))], "item_id long, text string")
+    got = decontamination.decontaminate(docs(spark, [(1, f"x {word(1)} y", "a"), (2, f"x {word(0)} y", "a"), (2, f"x {word(0)} y", "a")]), bench).collect()
+    assert sorted((r.doc_id, r.n_hit) for r in got) == [(1, 0), (2, 1), (2, 1)]
+
+
 @pytest.mark.parametrize("block", [1 << 20, 200])
 def test_decontamination_equals_brute_force(spark, block):
     r = random.Random(4)
@@ -240,6 +247,32 @@ def test_skip_edges_carry_a_kind_to_a_repeat():
     assert pii.spans_of(["nothing 12 here", ""], field) == ([[], []], [[], []])
 
 
+def test_links_find_what_patterns_and_features_miss():
+    r = random.Random(4)
+    number = lambda: f"+1 ({r.randrange(200, 990)}) 555-{r.randrange(1000, 9999)}"
+    part = lambda: f"555-{r.randrange(1000, 9999)}"
+    train = [f"call {number()} now, item {part()} of {r.randrange(99)}; or {n} and again {n}, item {m} and {m}" for n, m in ((number(), part()) for _ in range(300))]
+    field = pii.Field()
+    field.fit([pii.Tokens(t, pii.base_spans(t)) for t in train])
+    text = "call +1 (605) 555-9305 now; later ask for 555-9305 there, and item 555-1111"
+    at = text.index("555-9305 there")
+    assert ("phone", at, at + 8) in pii.spans_of([text], field)[1][0]
+    assert not any(s == text.index("555-1111") for _, s, _ in pii.spans_of([text], field)[1][0])
+    field.pair[:] = 0
+    assert ("phone", at, at + 8) not in pii.spans_of([text], field)[1][0]
+
+
+def test_personal_data_in_very_long_texts_takes_linear_time():
+    import time
+
+    began = time.time()
+    field = pii.Field()
+    field.fit([pii.Tokens(CLEAN, pii.base_spans(CLEAN))])
+    for text in ("7" * 1_000_000, "a" * 1_000_000 + " @", "a" * 500_000 + "@" + "b" * 500_000, "1." * 500_000, "+1" + " " * 1_000_000, "a@" * 300_000, "x" * 1_000_000 + "1"):
+        pii.spans_of([text], field)
+    assert time.time() - began < 60
+
+
 # toxicity
 
 
@@ -414,7 +447,7 @@ def test_quotation_linking(spark):
     a, b, c, d = (got[(1, i, r)] for i, r in ((1, "assistant"), (2, "user"), (3, "user"), (4, "user")))
     assert (a.body, a.n_quotes, a.n_linked, a.reply_to, a.root, a.depth) == ("Fine, thanks.", 1, 1, 0, 0, 1)
     assert (b.n_quotes, b.n_linked, b.reply_to, b.root, b.depth) == (2, 2, 1, 0, 2)
-    assert b.reply_path == "0000000000/0000000001/0000000002"
+    assert b.reply_path == "/".join(f"{(1 << 63) + k:016x}" for k in range(3))
     assert (c.n_quotes, c.n_linked, c.reply_to, c.depth) == (1, 0, None, 0) and d.body == "No quotes"
     assert got[(2, 0, "user")].n_linked == 0
 

@@ -74,7 +74,7 @@ STAGES = [
     ("source_mixing", source_mixing),
 ]
 
-#: Training a network, and fingerprints by XXH64, have no SQL form; tests/llm holds run() against its operators' own brute-force versions.
+#: Training a network has no SQL form; tests/llm holds the stages against brute-force versions, toxicity against the network's own scores.
 ORACLE_SQL = None
 
 

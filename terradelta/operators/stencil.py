@@ -129,4 +129,4 @@ def shifted(df: DataFrame, values: list[str], d_row: float, d_col: float, method
     tap = F.explode(F.array(*[F.struct(F.lit(i).alias("r"), F.lit(j).alias("c"), F.lit(w).alias("w")) for i, j, w in taps]))
     moved = df.select("row", "col", *values, tap.alias("t")).select((F.col("row") + F.col("t.r")).alias("row"), (F.col("col") + F.col("t.c")).alias("col"), *[(F.col(v) * F.col("t.w")).alias(v) for v in values])
     total = moved.groupBy("row", "col").agg(F.count(F.lit(1)).alias("n"), *[F.when(F.count(v) == len(taps), F.sum(v)).alias(v) for v in values]).where(F.col("n") == len(taps)).drop("n")
-    return df.select("row", "col").join(total, ["row", "col"], "left").crossJoin(size).select("row", "col", *[F.round(v, 6).alias(v) for v in values])
+    return df.select("row", "col").join(total, ["row", "col"], "left").crossJoin(size).select("row", "col", *[F.round(v, 9).alias(v) for v in values])

@@ -315,12 +315,12 @@ def binary_closing(spark, sf_dir):
     return stencil.closing(mask(spark, sf_dir).select("row", "col"), 1, pair(spark, sf_dir))
 
 
-@query(f"WITH {SCENE} SELECT s.row, s.col, round(n.score, 6) AS score FROM scores s LEFT JOIN scores n ON n.row = s.row - 2 AND n.col = s.col + 1")
+@query(f"WITH {SCENE} SELECT s.row, s.col, round(n.score, 9) AS score FROM scores s LEFT JOIN scores n ON n.row = s.row - 2 AND n.col = s.col + 1")
 def shift_nearest(spark, sf_dir):
     return stencil.shifted(scores(spark, sf_dir), ["score"], 2.0, -1.0)
 
 
-@query(f"WITH {SCENE} SELECT s.row, s.col, round(0.75 * n.score + 0.25 * m.score, 6) AS score FROM scores s LEFT JOIN scores n ON n.row = s.row - 1 AND n.col = s.col LEFT JOIN scores m ON m.row = s.row - 2 AND m.col = s.col")
+@query(f"WITH {SCENE} SELECT s.row, s.col, round(0.75 * n.score + 0.25 * m.score, 9) AS score FROM scores s LEFT JOIN scores n ON n.row = s.row - 1 AND n.col = s.col LEFT JOIN scores m ON m.row = s.row - 2 AND m.col = s.col")
 def shift_linear(spark, sf_dir):
     return stencil.shifted(scores(spark, sf_dir), ["score"], 1.25, 0.0, "linear")
 

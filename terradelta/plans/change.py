@@ -66,19 +66,20 @@ def marked_scores(pair: DataFrame, config: Config = Config(), scored: DataFrame
     """Scores smoothed, with threshold and mask."""
     d = config.detection
     if scored is None:
-        matched = {"off": lambda x: x, "mean_std": detect.match_mean_std, "robust": detect.match_robust}[d.radiometric_norm_method](pair)
-        score = detect.rms_scores(matched, bands).select("row", "col", "score")
-        scored = pair.drop("score").join(score, ["row", "col"]) if d.radiometric_norm_method != "off" else detect.rms_scores(pair, bands)
+        scored = detect.rms_scores(pair, bands)
+        if d.radiometric_normalization:
+            matched = {"mean_std": detect.match_mean_std, "robust": detect.match_robust}[d.radiometric_norm_method](pair)
+            scored = pair.drop("score").join(detect.rms_scores(matched, bands).select("row", "col", "score"), ["row", "col"])
     return detect.change_mask(stencil.smooth(scored, d.smoothing_sigma_px), d.threshold_method, d.percentile / 100 if d.threshold_method == "percentile" else d.fixed_threshold)
 
 
 def clean_labels(marked: DataFrame, config: Config = Config(), pixel_area: float = 0.25) -> tuple[DataFrame, DataFrame]:
     """All components of the opened and closed mask, and those of at least the least area."""
-    c = config.cleaning
+    c = config.postprocessing
     pixels = marked.where("mask").select("row", "col")
     pixels = stencil.closing(stencil.opening(pixels, c.opening_radius_px, marked), c.closing_radius_px, marked)
     pixels = pixels.join(marked.where("valid"), ["row", "col"], "left_semi")
-    every = regions.components(pixels, c.connectivity)
+    every = regions.components(pixels, config.polygons.connectivity)
     return every, regions.keep_large(every, max(1, math.ceil(c.min_mapping_unit_m2 / pixel_area)))
 
 

@@ -99,6 +99,8 @@ def run_pipeline(
     began = time.time()
     if mode:
         config = replace(config, severity=replace(config.severity, mode=mode))
+    band_map = band_map or config.bands.band_map or None
+    context_layers = context_layers or {os.path.splitext(os.path.basename(p))[0]: p for p in config.severity.context_layers}
     folder = os.path.join(out_root, run_name or datetime.now().strftime("run_%Y%m%d_%H%M%S"))
     os.makedirs(folder, exist_ok=True)
     at = lambda name: os.path.join(folder, name)
@@ -122,7 +124,7 @@ def run_pipeline(
     alignment = first = gate(pair)
     outputs = {}
     if (config.alignment.auto_correct if auto_correct is None else auto_correct) and first["shift_row_px"] is not None:
-        pair = kept(registration.corrected(pair, first["shift_row_px"], first["shift_col_px"], config.alignment.interpolation))
+        pair = kept(registration.corrected(pair, first["shift_row_px"], first["shift_col_px"], {"spline": "cubic"}.get(config.alignment.interpolation, config.alignment.interpolation)))
         alignment = gate(pair) | {"corrected_by_px": [first["shift_row_px"], first["shift_col_px"]]}
         outputs["after_aligned"] = write_raster(pair.withColumn("v", F.when(F.col("valid"), F.col("a1")).otherwise(-9999.0)), "v", "float32", info, -9999, at("after_aligned.tif"))
     if alignment["status"] == "fail" and config.alignment.block_on_fail and not allow_misaligned:
@@ -151,7 +153,7 @@ def run_pipeline(
 
     n = marked.agg(F.count_if("valid").alias("valid"), F.count(F.lit(1)).alias("all"), F.max("threshold").alias("threshold")).first()
     changed = labels.count() / max(1, n["valid"])
-    implausible = changed > config.severity.implausible_change_fraction
+    implausible = changed > config.severity.implausible()
     tagged = rules.tag(table, config.tagging, policy, alignment["status"], alignment["magnitude_px"] or 0.0)
     found = {}
     for name, path in (context_layers or {}).items():
@@ -164,7 +166,7 @@ def run_pipeline(
     tagged = vectors.context_hits(tagged, found, "label", max(64 * abs(info["affine"][0]), 1e-9))
     judged = rules.review(rules.severity(tagged, config.severity, "hits" if found else None), alignment["status"], allow_misaligned, F.lit(implausible))
     before_filter = judged.count()
-    judged = regions.change_ids(judged).where(F.col("area_m2") >= config.cleaning.min_mapping_unit_m2)
+    judged = regions.change_ids(judged).where(F.col("area_m2") >= config.postprocessing.min_mapping_unit_m2)
     judged = vectors.simplify(judged, config.polygons.simplify_tolerance_px * abs(info["affine"][0]))
     evidence = F.to_json(F.struct(*[F.round(c, 4).alias(c) for c in EVIDENCE])).alias("tag_evidence")
     final = kept(
@@ -191,7 +193,7 @@ def run_pipeline(
     total = final.agg(F.count(F.lit(1)), F.coalesce(F.sum("area_m2"), F.lit(0.0))).first()
     counts = {
         "valid_pixel_fraction": n["valid"] / max(1, n["all"]), "changed_fraction": round(changed, 4), "implausible_change_fraction": implausible, "threshold": n["threshold"], "threshold_method": d.threshold_method,
-        "pixel_area_m2": pixel_area, "components_raw": count(regions.components(marked.where("mask"), config.cleaning.connectivity)), "components_after_morphology": count(every), "components_after_mmu": count(labels),
+        "pixel_area_m2": pixel_area, "components_raw": count(regions.components(marked.where("mask"), config.polygons.connectivity)), "components_after_morphology": count(every), "components_after_mmu": count(labels),
         "polygons_before_area_filter": before_filter, "polygons_after_area_filter": total[0], "total_changed_area_m2": total[1],
     }
     if implausible:

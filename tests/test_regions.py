@@ -33,5 +33,10 @@ def test_config_is_strict():
     with pytest.raises(KeyError):
         config_of({"severity": {"colour": 1}})
     with pytest.raises(ValueError):
-        config_of({"cleaning": {"connectivity": 5}})
+        config_of({"polygons": {"connectivity": 5}})
     assert Config().detection.threshold_method == "otsu"
+    assert config_of({"severity": {"mode": "enforcement", "implausible_change_fraction_enforcement": 0.4}}).severity.implausible() == 0.4
+    for bad in ({"detection": {"tile_size": 8}}, {"detection": {"percentile": 100}}, {"alignment": {"warn_px": 3}}, {"alignment": {"interpolation": "cubic"}}, {"severity": {"emergency_med_conf": 0.9}}, {"validation": {"min_overlap_fraction": 0}}, {"severity": 3}):
+        with pytest.raises(ValueError):
+            config_of(bad)
+    assert config_of({k: {} for k in ("detection", "validation", "postprocessing", "polygons", "alignment", "routing", "bands", "tagging", "severity")}) == Config()

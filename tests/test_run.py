@@ -18,7 +18,7 @@ def info(**more):
 @pytest.mark.parametrize(
     "change, wrong",
     [({}, None), ({"epsg": 32634}, "Pair CRS"), ({"epsg": None}, "After CRS"), ({"epsg": 27700}, "After CRS"), ({"bands": 1}, "Pair bands"), ({"spread": 0.0}, "After content"), ({"spread": None}, "After content"),
-     ({"valid_fraction": 0.001}, "After coverage"), ({"affine": [0.5, 0, 5e5 + 0.25, 0, -0.5, 45e5]}, "Pair grid"), ({"affine": [0.5, 0, 6e5, 0, -0.5, 45e5]}, "Pair overlap"), ({"affine": None}, "After transform"), ({"error": "bad"}, "After file")],
+     ({"valid_fraction": 0.001}, "After valid data"), ({"affine": [0.5, 0, 5e5 + 0.25, 0, -0.5, 45e5]}, "Pair grid"), ({"affine": [0.5, 0, 6e5, 0, -0.5, 45e5]}, "Pair overlap"), ({"affine": None}, "After transform"), ({"error": "bad"}, "After file")],
 )
 def test_checks(change, wrong):
     report = compare(info(), info(**change))

@@ -12,7 +12,10 @@ The likeness of two fingerprints is the share of bins in which they agree.
 
 The edited text of a row needs the next document by doc_id.  Rows are dealt to ranges
 of doc_id and each range also gets the first document of the range after it (the last
-gets the very first), so no row looks beyond its range.
+gets the very first), so no row looks beyond its range.  There are at most ``RANGES``
+ranges, so the bounds and first keys, two literal arrays, don't grow with the input; a
+range's rows are sorted by Spark, which spills, and pass its task a batch at a time, so
+memory depends neither on its length nor on how many rows share a doc_id.
 
 Defined cases: null counts as the empty text, whose fingerprint has no features; two
 of those are alike (1.0), one of those and another are not (0.0); null doc_ids come
@@ -35,6 +38,8 @@ from .kernels import U64, mix, slices, utf8
 BINS = 64
 #: Levels whose phrase names are features: phrases of about 7, 18 and 45 bytes.
 LEVELS = (2, 3, 4)
+#: Most ranges of doc_id, which bounds what the plan and the driver hold; beyond it ranges grow, and a range streams through its task.
+RANGES = 16384
 LAST = np.iinfo(np.int64).max
 EMPTY = 0xFFFF
 
@@ -127,7 +132,7 @@ def edited(text: str, following: str) -> str:
 
 def fingerprint_documents(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row."""
-    parts = parts or parts_for(docs, 8 << 20)
+    parts = min(parts or parts_for(docs, 8 << 20), RANGES)
     docs = with_columns_of(docs, "doc_id", "text")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(int(LAST))).alias("key"))
     bounds = id_bounds(rows, "key", parts)
@@ -135,9 +140,9 @@ def fingerprint_documents(docs: DataFrame, parts: int | None = None) -> DataFram
     # one first key a range reaches the driver; the first document of each is copied to the range before
     heads = sorted((r["part"], r["key"]) for r in rows.groupBy("part").agg(F.min("key").alias("key")).collect())
     if heads:
-        before = {key: heads[i - 1][0] for i, (_, key) in enumerate(heads)}
-        chosen = rows.where(F.col("key").isin(list(before))).groupBy("key").agg(F.min("text").alias("text"))
-        to = F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("key"))
+        keys, before = F.lit([key for _, key in heads]), F.lit([heads[i - 1][0] for i in range(len(heads))])
+        chosen = rows.where(F.col("key").isin([key for _, key in heads])).groupBy("key").agg(F.min("text").alias("text"))
+        to = F.element_at(before, F.array_position(keys, F.col("key")).cast("int"))
         extra = chosen.select(F.lit(None).cast("long").alias("doc_id"), "text", "key", to.alias("part"), F.lit(1).alias("extra"))
         rows = rows.withColumn("extra", F.lit(0)).unionByName(extra)
     else:

@@ -186,6 +186,20 @@ def test_fingerprints_and_edits(spark):
     assert np.mean([g.near_edited for g in long]) > np.mean([g.near_next for g in long]) + 0.1
 
 
+def test_fingerprints_do_not_depend_on_the_ranges(spark, monkeypatch):
+    rows = [x for x in texts(4) if x[0] is not None]
+    whole = lambda parts: sorted(map(tuple, fingerprints.fingerprint_documents(docs(spark, rows), parts).collect()))
+    one = whole(1)
+    assert one == whole(7)
+    monkeypatch.setattr(fingerprints, "RANGES", 3)
+    assert one == whole(50)
+    many = [(5, f"same id {i % 4} " * (1 + i % 90), "a") for i in range(300)] + [(None, f"no id {i}", None) for i in range(200)] + [(6, "x " * 300000, "a")]
+    got = fingerprints.fingerprint_documents(docs(spark, many), 6).collect()
+    order = sorted(many, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+    edits = [fingerprints.edited(a[1], b[1]) for a, b in zip(order, order[1:] + order[:1])]
+    assert sorted((repr(x.doc_id), x.n_chars, x.edited_sha256) for x in got) == sorted((repr(i), len(t), hashlib.sha256(e.encode()).hexdigest()) for (i, t, _), e in zip(order, edits))
+
+
 def test_parse_does_not_depend_on_the_offset():
     import pyarrow as pa
 
@@ -468,6 +482,74 @@ def test_quoted_passages_of_many_lines(spark):
     assert [got[10 + i] for i in range(len(quotes))] == list(quotes.values())
 
 
+def brute_threads(rows):
+    """(conv, turn) -> (n_quotes, n_linked, reply_to, root, depth, turns from the root) by comparing texts, one message with all earlier ones."""
+    plain = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), " ".join(t.split()))
+    lines = lambda t: [plain(x) for x in t.split("\n") if x.strip()]
+    parsed = {(c, t): quotation.parse_message(x) for c, t, _, x in rows}
+
+    def earliest(conv, turn, wanted, whole=None):
+        for t in sorted(u for c, u in parsed if c == conv and u < turn):
+            body = parsed[conv, t][0]
+            own = lines(body)
+            if (whole and plain(body) == whole) or any(own[i : i + len(wanted)] == wanted for i in range(len(own) - len(wanted) + 1)):
+                return t
+
+    found = {}
+    for (c, t), (_, quotes) in parsed.items():
+        links = []
+        for n, (depth, q) in enumerate(quotes):
+            own, best = lines(q), None
+            if not own:
+                continue
+            source = earliest(c, t, own, plain(q))
+            if source is None:
+                step = 1
+                while step < len(own):
+                    for i in range(len(own) - step + 1):
+                        part = own[i : i + step]
+                        s = earliest(c, t, part)
+                        if s is not None:
+                            rank = (-len(" ".join(part)), s)
+                            best = min(best or rank, rank)
+                    step *= 2
+                source = best and best[1]
+            if source is not None:
+                links.append((depth, n, source))
+        found[c, t] = (len(quotes), len(links), min(links)[2] if links else None)
+    out = {}
+    for (c, t), (n, k, reply) in found.items():
+        path, at = [t], reply
+        while at is not None:
+            path, at = [at, *path], found[c, at][2]
+        out[c, t] = (n, k, reply, path[0], len(path) - 1, path)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_threads_equal_brute_force(spark, seed):
+    r = random.Random(seed)
+    rows, pool = [], ["Hi all", "hi  ALL", "Thanks", "the plan", "see you", "-- ", "Yes"] + [f"line {i}" for i in range(25)]
+    for conv in range(6):
+        said = []
+        for turn in sorted(r.sample(range(-3, 60), 25)):
+            text = [r.choice(pool) for _ in range(r.randrange(4))]
+            for _ in range(r.randrange(3)):
+                source = r.choice(said).split("\n") if said and r.random() < 0.8 else [r.choice(pool), "never said"]
+                at = r.randrange(len(source))
+                mark = r.choice([">", "> ", ">> ", " > > "])
+                text[r.randrange(len(text) + 1) : 0] = [mark + x for x in source[at : at + r.randrange(1, 5)]]
+            if said and r.random() < 0.4:
+                text = ["> " + said[-1].split("\n")[-1], *text]
+            said.append("\n".join([*text, f"only here {turn}"]))
+            rows.append((conv, turn, r.choice(["user", "assistant"]), said[-1]))
+    got = quotation.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    want = brute_threads(rows)
+    number = lambda x: (int(x, 16) ^ (1 << 63)) - (1 << 64 if int(x, 16) ^ (1 << 63) >= 1 << 63 else 0)
+    assert {(x.conv_id, x.turn): (x.n_quotes, x.n_linked, x.reply_to, x.root, x.depth, [number(s) for s in x.reply_path.split("/")]) for x in got} == want
+    assert sum(x[1] for x in want.values()) > 40 and max(x[4] for x in want.values()) > 2
+
+
 def test_empty_tables(spark):
     none = docs(spark, [])
     for f in (simhash.simhash_components, mixing.mix, fingerprints.fingerprint_documents, pii.find_personal_data):
@@ -538,3 +620,41 @@ def test_pipeline_decides_on_each_row(spark, tmp_path):
     assert len(out) == len(wanted) <= len(clean)
     assert sorted((x.size, x.copies, repr(x.source)) for x in out) == sorted((n, k, repr(s)) for _, n, k, s in wanted)
     assert {(x.doc_id, x.text, x.source) for x in out} <= set(clean) and any(x.doc_id is None for x in out)
+
+
+def test_whole_pipeline_equals_brute_force(spark, tmp_path):
+    """run() against its stages done by hand, the toxicity stage by the scores of the network it fits."""
+    import corpus_pipeline as c
+    import pyarrow as pa
+
+    r = random.Random(17)
+    bench = " ".join(f"q{i}" for i in range(20))
+    make = lambda k, bad: " ".join(r.choice(["idiot", "scum", "moron"]) if bad and j == k // 2 else r.choice(["lorem", "ipsum", "dolor"]) + str(r.randrange(900)) for j in range(k))
+    rows = [(i, make(r.randrange(20, 60), i % 4 == 0), r.choice(["a", "b", "b", None])) for i in range(300)]
+    rows += [(400 + i, rows[1 + 4 * i][1], "a") for i in range(5)] + [(500, make(30, False) + " " + bench, "a"), (501, bench, "b"), (502, None, "a"), (503, "", "b")]
+    rows += [(600 + i, make(25, False) + f" write to me{i}@mail.example.com or 10.0.0.{i} today", "b") for i in range(6)]
+    r.shuffle(rows)
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    frame = lambda rows: spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], kind)
+    frame(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, bench)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(300)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+
+    score = toxicity.fit(frame(rows), spark.read.parquet(f"{tmp_path}/labels.parquet")).score(pa.array([t for _, t, _ in rows]))
+    left = [x for x, s in zip(rows, score) if s < toxicity.THRESHOLD]
+    classes = brute_classes([brute_fingerprint(t) for _, t, _ in left])
+    left = [min(x for x, g in zip(left, classes) if g == k) for k in set(classes)]
+    hits = {i for i, t, _ in left if bench in (t or "")}
+    left = [x for x in left if x[0] not in hits]
+    masked = lambda t: t and re.sub(r"10\.0\.0\.[0-9]", "[ip]", re.sub(r"me[0-9]@mail\.example\.com", "[email]", t))
+    left = [(i, masked(t), s) for i, t, s in left]
+    assert hits and len(left) > 100 and any("[email]" in (t or "") for _, t, _ in left)
+
+    out = c.run(spark, str(tmp_path)).collect()
+    text = {i: t for i, t, _ in left}
+    assert {x.doc_id for x in out} <= set(text) and all(text[x.doc_id] == x.text and x.size == len((x.text or "").split()) for x in out)
+    mixed = {x.doc_id: (x.size, x.source_size, x.target) for x in mixing.mix(frame(left)).collect()}
+    assert all((x.size, x.source_size, x.target) == mixed[x.doc_id] and x.taken == x.size * x.copies for x in out)
+    for s in {x.source for x in out}:
+        own = [x for x in out if x.source == s]
+        assert abs(sum(x.taken for x in own) - own[0].target) <= 60  # the longest document

@@ -646,9 +646,9 @@ def test_whole_pipeline_equals_brute_force(spark, tmp_path):
     left = [min(x for x, g in zip(left, classes) if g == k) for k in set(classes)]
     hits = {i for i, t, _ in left if bench in (t or "")}
     left = [x for x in left if x[0] not in hits]
-    masked = lambda t: t and re.sub(r"10\.0\.0\.[0-9]", "[ip]", re.sub(r"me[0-9]@mail\.example\.com", "[email]", t))
+    masked = lambda t: t and re.sub(r"10\.0\.0\.[0-9]", "[IP]", re.sub(r"me[0-9]@mail\.example\.com", "[EMAIL]", t))
     left = [(i, masked(t), s) for i, t, s in left]
-    assert hits and len(left) > 100 and any("[email]" in (t or "") for _, t, _ in left)
+    assert hits and len(left) > 100 and any("[EMAIL]" in (t or "") for _, t, _ in left)
 
     out = c.run(spark, str(tmp_path)).collect()
     text = {i: t for i, t, _ in left}

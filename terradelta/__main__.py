@@ -1,4 +1,4 @@
-"""python -m terradelta run BEFORE AFTER OUT | synthetic OUT | evaluate BEFORE AFTER REFERENCE OUT | robustness OUT"""
+"""python -m terradelta run BEFORE AFTER OUT | synthetic OUT | evaluate BEFORE AFTER REFERENCE OUT | robustness OUT | demos OUT"""
 
 from __future__ import annotations
 
@@ -40,10 +40,13 @@ def main(argv: list[str] | None = None) -> int:
     made.add_argument("out")
     made.add_argument("--size", type=int, default=512)
     made.add_argument("--shift", type=int, default=0)
+    for x in ("season", "no-data", "converted", "road"):
+        made.add_argument(f"--{x}", action="store_true")
     test = sub.add_parser("evaluate")
     for x in ("before", "after", "reference", "out"):
         test.add_argument(x)
-    sub.add_parser("robustness").add_argument("out")
+    for x in ("robustness", "demos"):
+        sub.add_parser(x).add_argument("out")
     for x in (run, test):
         x.add_argument("--config")
     o = p.parse_args(argv)
@@ -54,9 +57,11 @@ def main(argv: list[str] | None = None) -> int:
             got = run_pipeline(spark, o.before, o.after, o.out, settings(o.config), o.name, o.mode, o.allow_misaligned, o.auto_correct, o.bands, dict(x.split("=", 1) for x in o.context))
             print(json.dumps({"folder": got.folder, "counts": got.counts, "warnings": got.warnings}, default=str))
         elif o.what == "synthetic":
-            print(json.dumps(evaluate.write_synthetic_pair(spark, o.out, o.size, o.shift)))
+            print(json.dumps(evaluate.write_synthetic_pair(spark, o.out, o.size, o.shift, season=o.season, no_data=o.no_data, converted=o.converted, road=o.road)))
         elif o.what == "evaluate":
             evaluate.evaluate(spark, o.before, o.after, o.reference, o.out, settings(o.config)).show(truncate=False)
+        elif o.what == "demos":
+            evaluate.failure_demos(spark, o.out).show(truncate=False)
         else:
             evaluate.shift_robustness(spark, o.out).show(truncate=False)
     except (ValidationError, AlignmentError) as e:

@@ -68,16 +68,31 @@ def components(pixels: DataFrame, connectivity: int = 8, tile: int = TILE) -> Da
     touch = F.explode(F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in _steps(connectivity)]))
     moved = border.select("row", "col", F.col("part").alias("a"), touch.alias("d")).select((F.col("row") + F.col("d.r")).alias("row"), (F.col("col") + F.col("d.c")).alias("col"), "a")
     edges = _checkpointed(moved.join(border.withColumnRenamed("part", "b"), ["row", "col"]).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    out = parts.withColumnRenamed("part", "label")
+    to = None  # part -> root of the parts that touch another, a table of border parts only
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hook = _checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("to")))
         hop = hook.select(F.col("node").alias("to"), F.col("to").alias("next"))
         hook = _checkpointed(hook.join(hop, "to", "left").select("node", F.coalesce("next", "to").alias("to")))
-        out = out.join(hook.select(F.col("node").alias("label"), "to"), "label", "left").select("row", "col", F.coalesce("to", "label").alias("label"))
+        to = hook if to is None else _checkpointed(to.join(hook.select(F.col("node").alias("to"), F.col("to").alias("next")), "to", "left").select("node", F.coalesce("next", "to").alias("to")))
         left, right = hook.select(F.col("node").alias("a"), F.col("to").alias("ta")), hook.select(F.col("node").alias("b"), F.col("to").alias("tb"))
         edges = _checkpointed(edges.join(left, "a").join(right, "b").where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct())
-    return out
+    if to is None:
+        return parts.withColumnRenamed("part", "label")
+    return parts.join(to, parts["part"] == to["node"], "left").select("row", "col", F.coalesce("to", "part").alias("label"))
+
+
+def numbered(labels: DataFrame) -> DataFrame:
+    """Adds number: 1, 2, 3 ... by the components' first pixels in scan order.
+
+    The distinct labels are sorted in ranges; each takes its place in its range and the
+    length of the ranges before it, so no task sees all of them."""
+    ranged = _checkpointed(labels.select("label").distinct().repartitionByRange("label").withColumn("_range", F.spark_partition_id()))
+    length = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("n"))  # a row a partition
+    before = length.select("_range", (F.sum("n").over(W.orderBy("_range")) - F.col("n")).alias("_before"))
+    place = F.row_number().over(W.partitionBy("_range").orderBy("label"))
+    order = ranged.join(F.broadcast(before), "_range").select("label", (F.col("_before") + place).alias("number"))
+    return labels.join(order, "label")
 
 
 def keep_large(labels: DataFrame, least: int) -> DataFrame:
@@ -203,6 +218,11 @@ def rectangles(labels: DataFrame, pixel: float = 0.5) -> DataFrame:
 
 
 def change_ids(regions: DataFrame) -> DataFrame:
-    """change_id by area, largest first, then label."""
-    order = W.orderBy(F.col("area").desc(), F.col("label"))
-    return regions.withColumn("change_id", F.format_string("CHG-%04d", F.row_number().over(order)))
+    """change_id by area, largest first, then label.  Ranges of the order are numbered on their own, behind the lengths of those before."""
+    order = [F.col("area").desc(), F.col("label")]
+    ranged = _checkpointed(regions.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    length = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("n"))  # a row a partition
+    before = length.select("_range", (F.sum("n").over(W.orderBy("_range")) - F.col("n")).alias("_before"))
+    place = F.row_number().over(W.partitionBy("_range").orderBy(*order))
+    out = ranged.join(F.broadcast(before), "_range")
+    return out.withColumn("change_id", F.format_string("CHG-%04d", F.col("_before") + place)).drop("_range", "_before")

@@ -206,6 +206,13 @@ def decimate(spark, sf_dir):
     return scores(spark, sf_dir).groupBy(at("row"), at("col")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("score"))
 
 
+@query(f"WITH {SCENE}, o AS (SELECT greatest(1.0, greatest(height, width) / 12.0) AS step, height, width FROM size), rs AS (SELECT CAST(floor((i + 0.5) * step) AS INT) AS row FROM o, generate_series(0, 11) t(i) WHERE i < floor(height / step + 1e-9)), cs AS (SELECT CAST(floor((i + 0.5) * step) AS INT) AS col FROM o, generate_series(0, 11) t(i) WHERE i < floor(width / step + 1e-9)) SELECT row, col, score FROM scores JOIN rs USING (row) JOIN cs USING (col)")
+def decimate_nearest(spark, sf_dir):
+    s = scores(spark, sf_dir)
+    height, width = s.agg(F.max("row") + 1, F.max("col") + 1).first()
+    return scenes.sampled(s, height, width, 12).select("row", "col", "score")
+
+
 @query(f"WITH {MASK} SELECT s.row, s.col, CASE WHEN valid THEN s.score ELSE -9999.0 END AS score, CAST(CASE WHEN NOT valid THEN 255 WHEN s.score >= threshold THEN 1 ELSE 0 END AS INT) AS mask FROM scores s, thr")
 def mask_encoding(spark, sf_dir):
     m = detect.change_mask(scores(spark, sf_dir), "percentile", 0.8)
@@ -305,9 +312,10 @@ def _erode_sql(source):
     return f"SELECT row, col FROM ({_spread_sql(source)}) GROUP BY 1, 2 HAVING count(*) = 5"
 
 
-@query(f"WITH {MASK}, e AS ({_erode_sql('mask')}) {_dilate_sql('e')}")
+@query(f"WITH {MASK.replace('score, 0.8', 'score, 0.3')}, e AS ({_erode_sql('mask')}) {_dilate_sql('e')}")
 def binary_opening(spark, sf_dir):
-    return stencil.opening(mask(spark, sf_dir).select("row", "col"), 1, pair(spark, sf_dir))
+    wide = detect.change_mask(scores(spark, sf_dir), "percentile", 0.3).where("mask")
+    return stencil.opening(wide.select("row", "col"), 1, pair(spark, sf_dir))
 
 
 @query(f"WITH {MASK}, d AS ({_dilate_sql('mask')}) {_erode_sql('d')}")
@@ -358,6 +366,21 @@ def region_shape(spark, sf_dir):
     return regions.shapes(kept(spark, sf_dir)).select("label", "pixel_count", "centre_row", "centre_col", "perimeter", "area", "compactness")
 
 
+@query(f"WITH {KEPT} SELECT label, row, col, dense_rank() OVER (ORDER BY label) AS number FROM kept")
+def label_numbers(spark, sf_dir):
+    return regions.numbered(kept(spark, sf_dir)).select("label", "row", "col", F.col("number").cast("long").alias("number"))
+
+
+@query(
+    f"""WITH {KEPT}, v AS (SELECT label, row + dr AS vr, col + dc AS vc, count(*) AS n, count(DISTINCT dr) = 2 AND count(DISTINCT dc) = 2 AND count(*) = 2 AS across FROM kept, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) t(dr, dc) GROUP BY 1, 2, 3),
+q AS (SELECT label, count(*) FILTER (WHERE n = 1) AS q1, count(*) FILTER (WHERE n = 3) AS q3, count(*) FILTER (WHERE across) AS qd FROM v GROUP BY 1), n AS (SELECT label, CAST(count(*) AS DOUBLE) AS area_px FROM kept GROUP BY 1)
+SELECT label, CAST(2 - (q1 - q3 + 2 * qd) // 4 AS BIGINT) AS n_rings, CAST(1 - (q1 - q3 + 2 * qd) // 4 AS BIGINT) AS n_holes, CAST(q1 + q3 + 2 * qd AS BIGINT) AS n_corners, area_px FROM q JOIN n USING (label)"""
+)
+def ring_counts(spark, sf_dir):
+    """Rings, holes, corners and area of the traced polygons; the SQL side counts the corner patterns of two by two pixels."""
+    return regions.polygons(kept(spark, sf_dir)).drop("rings")
+
+
 @query()
 def rings(spark, sf_dir):
     return regions.polygons(kept(spark, sf_dir))
@@ -433,6 +456,45 @@ def tag_regions(spark, sf_dir):
     return rules.tag(_region_table(spark, sf_dir)).select("label", "type_tag", "tags")
 
 
+@query(f"WITH {KEPT} SELECT label, round(avg(sqrt((pow(a1 - b1, 2) + pow(a2 - b2, 2) + pow(a3 - b3, 2)) / 3)), 6) AS chroma, round(avg(CASE WHEN valid THEN 0.0 ELSE 1.0 END), 6) AS nodata FROM kept JOIN scores USING (row, col) GROUP BY 1")
+def region_evidence(spark, sf_dir):
+    return _region_table(spark, sf_dir).select("label", "chroma", F.round("nodata", 6).alias("nodata"))
+
+
+_MADE = {
+    "compactness": "p_partkey * 37 % 100 / 100", "area": "p_partkey * 91 % 3000 / 1", "elongation": "(10 + p_partkey * 13 % 50) / 10", "width": "p_partkey * 7 % 60 / 10", "edge": "p_partkey * 17 % 50 / 100",
+    "nodata": "p_partkey * 29 % 40 / 100", "iou": "p_partkey * 31 % 100 / 100", "d_veg": "(p_partkey * 53 % 60 - 30) / 100", "d_built": "(p_partkey * 59 % 30 - 15) / 100", "d_lum": "(p_partkey * 61 % 30 - 15) / 100",
+}
+
+
+def _made(spark, sf_dir):
+    each = [F.expr(f"CAST(({x.rsplit(' / ', 1)[0]}) AS double) / CAST({x.rsplit(' / ', 1)[1]} AS double)").alias(n) for n, x in _MADE.items()]
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", *each)
+
+
+@query(
+    "WITH m AS (SELECT p_partkey, policy, " + ", ".join(f"CAST(({x.rsplit(' / ', 1)[0]}) AS DOUBLE) / CAST({x.rsplit(' / ', 1)[1]} AS DOUBLE) AS {n}" for n, x in _MADE.items()) + """ FROM part, (VALUES ('high_res_rgb'), ('multispectral_coarse')) p(policy)),
+f AS (SELECT *, d_built > 0.08 OR d_lum > 0.06 AS built, abs(d_veg) >= 0.15 AND (compactness < 0.40 OR area >= 200) AND NOT (d_built > 0.08 OR d_lum > 0.06) AS fluct FROM m),
+t AS (SELECT *, list_filter([CASE WHEN nodata >= 0.15 THEN 'low_quality' END, CASE WHEN elongation >= 2.5 AND edge >= 0.20 AND width <= 3.75 THEN 'misregistration_suspect' END, CASE WHEN iou < 0.40 THEN 'model_disagreement' END,
+ CASE WHEN d_veg < -0.15 AND (built OR (compactness >= 0.35 AND NOT fluct)) THEN 'vegetation_conversion' END, CASE WHEN fluct THEN 'vegetation_fluctuation' END,
+ CASE WHEN policy = 'high_res_rgb' AND compactness >= 0.35 AND area >= 20 AND area <= 2500 THEN 'building_like' END, CASE WHEN policy = 'multispectral_coarse' AND built THEN 'built_up_patch' END], lambda x: x IS NOT NULL) AS found FROM f)
+SELECT p_partkey, policy, CASE WHEN len(found) = 0 THEN 'unknown' ELSE found[1] END AS type_tag, CASE WHEN len(found) = 0 THEN 'unknown' ELSE array_to_string(list_sort(found), ';') END AS tags,
+ array_to_string(list_filter([CASE policy WHEN 'high_res_rgb' THEN 'alignment_warn' ELSE 'alignment_override' END, CASE WHEN list_contains(found, 'misregistration_suspect') THEN 'tag_misregistration_suspect' END, CASE WHEN list_contains(found, 'low_quality') THEN 'tag_low_quality' END,
+ CASE WHEN list_contains(found, 'model_disagreement') THEN 'tag_model_disagreement' END, CASE WHEN p_partkey % 2 = 0 THEN 'implausible_change' END], lambda x: x IS NOT NULL), ';') AS review_reasons FROM t"""
+)
+def tag_cases(spark, sf_dir):
+    """Tags and review reasons of made evidence, under both policies."""
+    made, odd = _made(spark, sf_dir).withColumn("base_severity", F.lit("Low")), F.col("p_partkey") % 2 == 0
+    each = [rules.review(rules.tag(made, policy=p, shift=0.5), "warn", o, odd).withColumn("policy", F.lit(p)) for p, o in (("high_res_rgb", False), ("multispectral_coarse", True))]
+    return each[0].unionByName(each[1]).select("p_partkey", "policy", "type_tag", "tags", "review_reasons")
+
+
+@query("WITH d AS (SELECT CAST(s_suppkey * 13 % 7 - 3 AS DOUBLE) r, round(s_acctbal / 2000, 3) c FROM supplier), m AS (SELECT median(r) mr, median(c) mc FROM d) SELECT round(any_value(mr), 6) AS d_row, round(any_value(mc), 6) AS d_col, count(*) AS windows, round(stddev_pop(sqrt(pow(r - mr, 2) + pow(c - mc, 2))), 6) AS spread, round(sqrt(pow(any_value(mr), 2) + pow(any_value(mc), 2)), 6) AS magnitude FROM d, m")
+def shift_summary(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/supplier.parquet").select((F.col("s_suppkey") * 13 % 7 - 3).cast("double").alias("d_row"), F.round(F.col("s_acctbal") / 2000, 3).alias("d_col"))
+    return registration.alignment_summary(d).select("windows", *[F.round(c, 6).alias(c) for c in ("d_row", "d_col", "spread", "magnitude")])
+
+
 CASES = "(VALUES (1, 50.0, 0.4), (2, 250.0, 0.55), (3, 600.0, 0.65), (4, 1500.0, 0.9), (5, 500.0, 0.6), (6, 100.0, 0.5), (7, 2000.0, 0.3), (8, 1000.0, 0.85), (9, 200.0, 0.75), (10, 99.9, 0.99)) t(id, area, confidence)"
 
 

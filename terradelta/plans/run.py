@@ -50,7 +50,7 @@ class Result:
     warnings: list
 
 
-def write_raster(values: DataFrame, column: str, dtype: str, info: dict, nodata: float, path: str) -> str:
+def write_raster(values: DataFrame, column: str | list[str], dtype: str, info: dict, nodata: float, path: str) -> str:
     """One file for a scene of one tile, else a folder of tile files; returns its name."""
     tiled = geotiff.tiles(values, column, dtype, tuple(info["affine"]), info["epsg"], nodata, TILE)
     single = max(info["width"], info["height"]) <= TILE
@@ -95,7 +95,9 @@ def run_pipeline(
     other_mask: DataFrame | None = None,
     notes: str = "",
 ) -> Result:
-    """mode and auto_correct override the settings only where given.  context_layers: name -> GeoJSON path, in the scene's system."""
+    """mode and auto_correct override the settings only where given.  context_layers: name -> path of a GeoJSON or GeoPackage file in any supported system.
+
+    run.log in the run's folder holds what was done when; it is closed before the manifest is made."""
     began = time.time()
     if mode:
         config = replace(config, severity=replace(config.severity, mode=mode))
@@ -104,6 +106,12 @@ def run_pipeline(
     folder = os.path.join(out_root, run_name or datetime.now().strftime("run_%Y%m%d_%H%M%S"))
     os.makedirs(folder, exist_ok=True)
     at = lambda name: os.path.join(folder, name)
+    with record.logged(at("run.log"), began) as say:
+        return _run(spark, before, after, folder, at, say, config, allow_misaligned, auto_correct, band_map, context_layers, other_mask, notes, began)
+
+
+def _run(spark, before, after, folder, at, say, config, allow_misaligned, auto_correct, band_map, context_layers, other_mask, notes, began) -> Result:
+    say(f"compares {before} with {after}, mode {config.severity.mode}")
     base = {"tool": "terradelta", "input_notes": notes, "severity_mode": config.severity.mode, "config_hash_sha256": record.config_snapshot(config, at("config_snapshot.json"))}
 
     report = validate_pair(spark, before, after, config.validation)
@@ -112,9 +120,10 @@ def run_pipeline(
         record.write_provenance(at("provenance.json"), {**base, "status": "failed_validation", "errors": report.of("fail"), "warnings": report.of("warn")})
         raise ValidationError("; ".join(report.of("fail")))
     info, warnings = report.before, report.of("warn")
+    say(f"{info['width']} by {info['height']} pixels of {info['bands']} band(s) can be compared")
     base |= {"inputs": [{k: x[k] for k in ("path", "length", "sha256")} for x in (report.before, report.after)], "source_pair_id": record.pair_id(report.before["sha256"], report.after["sha256"])}
 
-    depth = max(3, *(band_map or {"red": 1}).values())
+    depth = max(3, info["bands"], *(band_map or {"red": 1}).values())
     d = config.detection
     scales = tuple(geotiff.scale_of(x["dtype"], d.uint8_scale, d.uint16_scale) for x in (report.before, report.after))
     pair = kept(geotiff.pair(geotiff.pixels(spark, before), geotiff.pixels(spark, after), scales, depth))
@@ -126,11 +135,15 @@ def run_pipeline(
     if (config.alignment.auto_correct if auto_correct is None else auto_correct) and first["shift_row_px"] is not None:
         pair = kept(registration.corrected(pair, first["shift_row_px"], first["shift_col_px"], {"spline": "cubic"}.get(config.alignment.interpolation, config.alignment.interpolation)))
         alignment = gate(pair) | {"corrected_by_px": [first["shift_row_px"], first["shift_col_px"]]}
-        outputs["after_aligned"] = write_raster(pair.withColumn("v", F.when(F.col("valid"), F.col("a1")).otherwise(-9999.0)), "v", "float32", info, -9999, at("after_aligned.tif"))
+        # all bands, in the units of the file that was read
+        moved = [f"a{i}" for i in range(1, report.after["bands"] + 1)]
+        unit = pair.select("row", "col", *[F.when(F.col("valid"), F.col(c) * scales[1]).otherwise(-9999.0).alias(c) for c in moved])
+        outputs["after_aligned"] = write_raster(unit, moved, "float32", info, -9999, at("after_aligned.tif"))
     if alignment["status"] == "fail" and config.alignment.block_on_fail and not allow_misaligned:
         record.write_provenance(at("provenance.json"), {**base, "status": "failed_alignment", "alignment": alignment, "warnings": warnings, "errors": alignment["reasons"]})
         raise AlignmentError("; ".join(alignment["reasons"]))
 
+    say(f"alignment: {alignment['status']}, {alignment['magnitude_px']} px")
     indices = bool(band_map) and ({"nir", "red"} <= set(band_map) or {"swir1", "nir"} <= set(band_map))
     policy = spark.range(1).select(rules.route(F.lit(info["gsd_x_m"]), F.lit(info["bands"]), F.lit(indices), config.routing)).first()[0]
     bands = min(info["bands"], d.max_bands, 3)
@@ -158,9 +171,7 @@ def run_pipeline(
     found = {}
     for name, path in (context_layers or {}).items():
         try:
-            layer = files.read_geojson(spark, path)
-            layer.schema  # noqa: B018  a missing file shows here
-            found[name] = layer
+            found[name] = files.read_layer(spark, path, info["epsg"])  # a missing or refused one shows here
         except Exception as e:  # noqa: BLE001  a layer that can't be read only warns
             warnings.append(f"context layer {name}: {str(e).splitlines()[0]}")
     tagged = vectors.context_hits(tagged, found, "label", max(64 * abs(info["affine"][0]), 1e-9))
@@ -202,9 +213,12 @@ def run_pipeline(
         warnings.append("the alignment gate was overridden")
     if not total[0]:
         warnings.append("no region was found")
+    for w in warnings:
+        say(f"warning: {w}")
+    say(f"policy {policy}, counts {json.dumps(counts, default=str)}")
+    log.info("%s: %s", folder, json.dumps(counts, default=str))
     record.write_provenance(
         at("provenance.json"),
         {**base, "status": "ok", "warnings": warnings, "alignment": alignment, "initial_alignment": first, "routing": policy, "counts": counts, "outputs": outputs, "manifest_sha256": record.manifest(folder), "elapsed_seconds": round(time.time() - began, 2)},
     )
-    log.info("%s: %s", folder, json.dumps(counts, default=str))
     return Result(folder, final, labels, marked, counts, alignment, policy, warnings)

@@ -63,14 +63,14 @@ def mask_preview(labels: DataFrame, height: int, width: int, colour: tuple = (6,
 PAGE = """<!doctype html><meta charset="utf-8"><title>%(title)s</title>
 <style>body{font:14px sans-serif;margin:1rem}.v{position:relative;display:inline-block}.v img,.v svg{position:absolute;left:0;top:0;width:100%%;height:100%%}.v img.base{position:static;display:block}path{fill:none;stroke-width:1.5;vector-effect:non-scaling-stroke;cursor:pointer}.Critical{stroke:#dc2626}.Medium{stroke:#d97706}.Low{stroke:#16a34a}.Review{stroke:#9333ea}td,th{padding:2px 8px;text-align:left}</style>
 <h1>%(title)s</h1><p id="c"></p>
-<label>Tier <select id="t"><option value="">all</option></select></label> <label>Type <select id="k"><option value="">all</option></select></label> <label>After <input id="s" type="range" value="50"></label> <label><input id="h" type="checkbox"> Scores</label> <button id="x">Save decisions</button>
+<label>Tier <select id="t"><option value="">all</option></select></label> <label>Type <select id="k"><option value="">all</option></select></label> <label><input id="q" type="checkbox"> Only those with a quality flag</label> <label>After <input id="s" type="range" value="50"></label> <label><input id="h" type="checkbox"> Scores</label> <button id="x">Save decisions</button>
 <div class="v" style="width:%(shown)dpx"><img class="base" style="width:100%%" src="%(before)s"><img id="a" src="%(after)s"><img id="m" src="%(heat)s" hidden><svg viewBox="0 0 %(width)d %(height)d"></svg></div><table id="r"></table>
 <script>const R=%(regions)s,D=new Map(),E=i=>document.getElementById(i),S=document.querySelector('svg');
 for(const[i,f]of[['t','severity_tier'],['k','type_tag']])for(const v of[...new Set(R.map(r=>r[f]))].sort())E(i).add(new Option(v,v));
-function draw(){const V=R.filter(r=>(!E('t').value||r.severity_tier==E('t').value)&&(!E('k').value||r.type_tag==E('k').value));S.replaceChildren();E('r').replaceChildren();E('c').textContent=V.length+' of '+R.length+' regions';
+function draw(){const V=R.filter(r=>(!E('t').value||r.severity_tier==E('t').value)&&(!E('k').value||r.type_tag==E('k').value)&&(!E('q').checked||(r.quality_flag||'nominal')!='nominal'));S.replaceChildren();E('r').replaceChildren();E('c').textContent=V.length+' of '+R.length+' regions';
 for(const r of V){const p=document.createElementNS('http://www.w3.org/2000/svg','path');p.setAttribute('d',r.path);p.setAttribute('class',r.severity_tier);S.append(p);const w=E('r').insertRow();for(const f of['change_id','severity_tier','type_tag','area_m2','confidence','review_reasons'])w.insertCell().textContent=r[f];
 const s=document.createElement('select');for(const o of['','confirmed','rejected'])s.add(new Option(o,o));s.value=(D.get(r.change_id)||{}).decision||'';s.onchange=()=>D.set(r.change_id,{change_id:r.change_id,decision:s.value,decided:new Date().toISOString()});w.insertCell().append(s)}}
-E('t').onchange=E('k').onchange=draw;E('s').oninput=()=>E('a').style.clipPath='inset(0 0 0 '+E('s').value+'%%)';E('s').oninput();E('h').onchange=()=>E('m').hidden=!E('h').checked;
+E('t').onchange=E('k').onchange=E('q').onchange=draw;E('s').oninput=()=>E('a').style.clipPath='inset(0 0 0 '+E('s').value+'%%)';E('s').oninput();E('h').onchange=()=>E('m').hidden=!E('h').checked;
 E('x').onclick=()=>{const l=document.createElement('a');l.href=URL.createObjectURL(new Blob([JSON.stringify([...D.values()])],{type:'application/json'}));l.download='review_decisions.json';l.click()};draw()</script>
 """
 
@@ -80,14 +80,18 @@ def svg_path(rings) -> str:
     return "".join("M" + "L".join(f"{x:g} {y:g}" for x, y in r) + "Z" for r in rings or ())
 
 
-def viewer(regions: DataFrame, images: dict[str, bytes], height: int, width: int, path: str, title: str = "Change regions", most: int = 20000) -> int:
-    """One HTML file with both dates, scores and the regions (rings in pixels).  A page holds the ``most`` largest; the title says so if there are more."""
-    names = ["change_id", "severity_tier", "type_tag", "area_m2", "confidence", "review_reasons"]
-    rows = regions.orderBy(F.col("area_m2").desc(), "change_id").select(*names, "rings").limit(most + 1).collect()
-    if len(rows) > most:
-        rows, title = rows[:most], f"{title} (the {most} largest)"
-    data = [{n: r[n] for n in names} | {"path": svg_path(r["rings"])} for r in rows]
+def viewer(regions: DataFrame, images: dict[str, bytes], height: int, width: int, path: str, title: str = "Change regions") -> int:
+    """One HTML file with both dates, scores and all regions (rings in pixels), largest first; they stream into it a partition at a time."""
+    names = ["change_id", "severity_tier", "type_tag", "area_m2", "confidence", "review_reasons", "quality_flag"]
     uri = {k: "data:image/png;base64," + base64.b64encode(v).decode() for k, v in images.items()}
+    mark = "@regions@"
+    page = PAGE % {"title": html.escape(title).replace(mark, ""), "width": width, "height": height, "shown": min(1200, max(400, width)), "regions": mark, **uri}
+    head, tail = page.split(mark)
+    n = 0
     with open(path, "w", encoding="utf-8") as f:
-        f.write(PAGE % {"title": html.escape(title), "width": width, "height": height, "shown": min(1200, max(400, width)), "regions": json.dumps(data).replace("</", "<\\/"), **uri})
-    return len(rows)
+        f.write(head + "[")
+        for n, r in enumerate(regions.orderBy(F.col("area_m2").desc(), "change_id").select(*[c for c in names if c in regions.columns], "rings").toLocalIterator(), 1):
+            row = {c: r[c] for c in names if c in r} | {"path": svg_path(r["rings"])}
+            f.write((",\n" if n > 1 else "") + json.dumps(row).replace("</", "<\\/"))
+        f.write("]" + tail)
+    return n

@@ -6,12 +6,30 @@ import hashlib
 import json
 import os
 import platform
+import time
+from contextlib import contextmanager
 from dataclasses import asdict
 from datetime import datetime, timezone
 
 from ..config import Config
 
 
+@contextmanager
+def logged(path: str, began: float):
+    """A function that adds a line with time and seconds since the start; an error that ends the run is its last line."""
+
+    def say(text: str) -> None:
+        with open(path, "a", encoding="utf-8") as f:  # closed after each line, so a manifest holds whole lines
+            f.write(f"{datetime.now(timezone.utc).isoformat(timespec='milliseconds')} +{time.time() - began:.1f} s  {text}\n")
+
+    open(path, "w").close()
+    try:
+        yield say
+    except Exception as e:
+        say(f"{type(e).__name__}: {e}")
+        raise
+
+
 def file_sha256(path: str) -> str:
     with open(path, "rb") as f:
         return hashlib.file_digest(f, "sha256").hexdigest()

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import sqlite3
 import struct
 from collections.abc import Iterator
@@ -15,6 +16,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import projection
 from ..operators.vectors import reprojected
 
 
@@ -140,6 +142,80 @@ def write_geopackage(df: DataFrame, path: str, epsg: int, layer: str = "change_p
     return n
 
 
+def _unwrapped(blob: bytes | None) -> list | None:
+    """Rings, opened, of a GeoPackage polygon; None for other shapes."""
+    if not blob:
+        return None
+    at = 8 + (0, 32, 48, 48, 64)[blob[3] >> 1 & 7]
+
+    def number(form, size):
+        nonlocal at
+        got = struct.unpack_from(order + form, blob, at)
+        at += size
+        return got
+
+    rings, left = [], 1
+    while left:
+        order = "<" if blob[at] else ">"
+        at += 1
+        kind = number("I", 4)[0]
+        dims, kind = 2 + (kind // 1000 in (1, 2)) + 2 * (kind // 1000 == 3), kind % 1000
+        if kind == 6:
+            left += number("I", 4)[0] - 1
+            continue
+        if kind != 3:
+            return None
+        for _ in range(number("I", 4)[0]):
+            n = number("I", 4)[0]
+            flat = number(f"{n * dims}d", 8 * n * dims)
+            rings.append([[flat[i], flat[i + 1]] for i in range(0, n * dims, dims)][:-1])
+        left -= 1
+    return rings
+
+
+def read_geopackage(spark, path: str) -> DataFrame:
+    """rings and epsg of each polygon of a GeoPackage's layers; the file is read where Spark puts it, one task a file."""
+
+    def run(batches):
+        import tempfile
+
+        import pandas as pd
+
+        for pdf in batches:
+            for raw in pdf["content"]:
+                with tempfile.NamedTemporaryFile(suffix=".gpkg") as f:
+                    f.write(raw)
+                    f.flush()
+                    db = sqlite3.connect(f.name)
+                    for layer, column, epsg in db.execute("SELECT table_name, column_name, srs_id FROM gpkg_geometry_columns").fetchall():
+                        cursor = db.execute(f'SELECT "{column}" FROM "{layer}"')
+                        while rows := cursor.fetchmany(1000):
+                            found = [r for (blob,) in rows if (r := _unwrapped(blob))]
+                            yield pd.DataFrame({"rings": found, "epsg": [epsg] * len(found)})
+                    db.close()
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "rings array<array<array<double>>>, epsg int")
+
+
+def read_layer(spark, path: str, epsg: int) -> DataFrame:
+    """rings of a GeoJSON or GeoPackage layer in the system ``epsg``.  GeoJSON is in longitude and latitude unless its ``crs`` names another."""
+    if path.lower().endswith(".gpkg"):
+        layer = read_geopackage(spark, path)
+        sources = [r[0] for r in layer.select("epsg").distinct().collect()]  # one a layer of the file
+    else:
+        named = spark.read.text(path, wholetext=True).select(F.get_json_object("value", "$.crs.properties.name").alias("n")).first()
+        code = re.search(r"EPSG:+(\d+)$", (named and named.n) or "")
+        sources = [int(code[1]) if code else 4326]
+        layer = read_geojson(spark, path).withColumn("epsg", F.lit(sources[0]))
+    for s in sources:
+        projection.is_metric(s)  # refuses a system that isn't supported
+    moved = F.col("rings")
+    for s in sources:
+        if s != epsg:
+            moved = F.when(F.col("epsg") == s, reprojected("rings", s, epsg)).otherwise(moved)
+    return layer.select(moved.alias("rings"))
+
+
 def read_geojson(spark, path: str) -> DataFrame:
     """rings and properties (JSON text) of each polygon feature of a FeatureCollection; other geometries are left out."""
     shape = "struct<features: array<struct<properties: string, geometry: struct<type: string, coordinates: string>>>>"

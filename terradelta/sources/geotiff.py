@@ -240,16 +240,19 @@ def pair(before: DataFrame, after: DataFrame, scales: tuple[float, float] = (255
     return both.withColumn("valid", F.col("valid_b") & F.col("valid_a")).drop("valid_b", "valid_a")
 
 
-def tiles(values: DataFrame, column: str, dtype: str, affine: tuple, epsg: int | None = None, nodata: float | None = None, tile: int = 1024) -> DataFrame:
-    """(tile_row, tile_col, content) of a grid of values: each tile encoded as a file of its own where its pixels are, for scenes of any size."""
+def tiles(values: DataFrame, column: str | list[str], dtype: str, affine: tuple, epsg: int | None = None, nodata: float | None = None, tile: int = 1024) -> DataFrame:
+    """(tile_row, tile_col, content) of a grid of values, a band a column: each tile encoded as a file of its own where its pixels are, for scenes of any size."""
+
+    columns = [column] if isinstance(column, str) else column
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         r, c = pdf["row"].to_numpy(), pdf["col"].to_numpy()
-        grid = np.full((1, r.max() + 1 - key[0] * tile, c.max() + 1 - key[1] * tile), 0 if nodata is None else nodata, dtype)
-        grid[0, r - key[0] * tile, c - key[1] * tile] = pdf["v"]
+        grid = np.full((len(columns), r.max() + 1 - key[0] * tile, c.max() + 1 - key[1] * tile), 0 if nodata is None else nodata, dtype)
+        for i in range(len(columns)):
+            grid[i, r - key[0] * tile, c - key[1] * tile] = pdf[f"v{i}"]
         a, b, x, d, e, y = affine
         at = (a, b, x + a * key[1] * tile + b * key[0] * tile, d, e, y + d * key[1] * tile + e * key[0] * tile)
         return pd.DataFrame({"tile_row": [key[0]], "tile_col": [key[1]], "content": [encode(Raster(grid, at, epsg, nodata))]})
 
     at = lambda c: F.floor(F.col(c) / tile).cast("int")
-    return values.select(at("row").alias("tile_row"), at("col").alias("tile_col"), "row", "col", F.col(column).alias("v")).groupBy("tile_row", "tile_col").applyInPandas(run, "tile_row int, tile_col int, content binary")
+    return values.select(at("row").alias("tile_row"), at("col").alias("tile_col"), "row", "col", *[F.col(n).alias(f"v{i}") for i, n in enumerate(columns)]).groupBy("tile_row", "tile_col").applyInPandas(run, "tile_row int, tile_col int, content binary")

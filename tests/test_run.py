@@ -55,7 +55,30 @@ def test_gate_blocks_and_correction_passes(spark, tmp_path):
         run_pipeline(spark, before, after, str(tmp_path), run_name="blocked")
     assert json.load(open(tmp_path / "blocked" / "provenance.json"))["status"] == "failed_alignment"
     got = run_pipeline(spark, before, after, str(tmp_path), run_name="fixed", auto_correct=True)
-    assert got.alignment["magnitude_px"] < 0.5 and os.path.exists(f"{got.folder}/after_aligned.tif")
+    assert got.alignment["magnitude_px"] < 0.5
+    aligned = geotiff.decode(open(f"{got.folder}/after_aligned.tif", "rb").read())
+    inside = aligned.data[:, 8:-8, 8:-8]
+    assert len(aligned.data) == 3 and np.abs(inside - ground[8:-8, 8:-8]).mean() < 2 and "alignment" in open(f"{got.folder}/run.log").read()
+    assert "AlignmentError" in open(tmp_path / "blocked" / "run.log").read()
     with pytest.raises(ValidationError):
         run_pipeline(spark, before, str(tmp_path / "none.tif"), str(tmp_path), run_name="missing")
     assert json.load(open(tmp_path / "missing" / "provenance.json"))["status"] == "failed_validation"
+
+
+def test_demos(spark, tmp_path):
+    rows = {r.scene: r for r in evaluate.failure_demos(spark, str(tmp_path), 192).collect()}
+    assert rows["misaligned"].status.startswith("AlignmentError") or rows["misaligned"].for_review == rows["misaligned"].regions
+    assert rows["coarse pixels"].status == "ok" and rows["coarse pixels"].building_like == 0
+    assert rows["illumination"].for_review == rows["illumination"].regions and rows["illumination"].changed_fraction > 0.2
+    assert rows["missing data"].status == "ok" and rows["missing data"].on_missing_data == 0 and rows["missing data"].regions == 3
+    assert {"failure_demos.md", "failure_demos.json", "failure_demos.csv"} <= set(os.listdir(tmp_path))
+    assert json.load(open(tmp_path / "missing_data" / "meta.json"))["options"] == {"no_data": True}
+
+
+def test_synthetic_options(spark):
+    from terradelta.sources import scenes
+
+    plain = scenes.synthetic_scene(spark, 128).toPandas().set_index(["row", "col"])
+    full = scenes.synthetic_scene(spark, 128, season=True, no_data=True, converted=True, road=True).toPandas().set_index(["row", "col"])
+    assert plain["valid"].all() and int((~full["valid"]).sum()) == 64 and full["ref"].sum() > plain["ref"].sum()
+    assert abs((full["b2"] - full["a2"]).loc[(90, 80)] - 0.2) < 0.03 and not full["ref"].loc[(90, 80)]

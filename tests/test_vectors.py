@@ -72,3 +72,26 @@ def test_vector_files(spark, tmp_path):
     assert db.execute("SELECT label, substr(geom, 1, 2) FROM change_polygons").fetchall() == [(1, b"GP"), (2, b"GP")]
     assert db.execute("SELECT min_x, srs_id FROM gpkg_contents").fetchone() == (500000.0, 32633)
     assert all(json.loads(r.value)["geometry"]["type"] == "Polygon" for r in sinks.geojson_lines(shape, epsg=32633).collect())
+
+
+def test_layers_come_in_the_scenes_system(spark, tmp_path):
+    square = [[[500010.0, 4500000.0], [500030.0, 4500000.0], [500030.0, 4500020.0], [500010.0, 4500020.0]], [[500015.0, 4500005.0], [500015.0, 4500010.0], [500020.0, 4500010.0]]]
+    df = spark.createDataFrame([("one", square), ("two", [square[0]])], "name string, rings array<array<array<double>>>")
+    sinks.write_geopackage(df, str(tmp_path / "a.gpkg"), 32633)
+    sinks.write_geojson(df, str(tmp_path / "a.geojson"), epsg=32633)
+    for name in ("a.gpkg", "a.geojson"):
+        got = sinks.read_layer(spark, str(tmp_path / name), 32633).collect()
+        assert sorted(len(r.rings) for r in got) == [1, 2]
+        for r in got:
+            assert sorted(map(tuple, r.rings[0])) == pytest.approx(sorted(map(tuple, square[0])), abs=1e-3)
+    (tmp_path / "b.geojson").write_text('{"type": "FeatureCollection", "crs": {"properties": {"name": "urn:ogc:def:crs:EPSG::27700"}}, "features": []}')
+    with pytest.raises(ValueError):
+        sinks.read_layer(spark, str(tmp_path / "b.geojson"), 32633)
+
+
+def test_viewer_holds_all_regions(spark, tmp_path):
+    from terradelta.sinks import pictures
+
+    rows = spark.range(21000).selectExpr("concat('CHG-', id) change_id", "'Low' severity_tier", "'unknown' type_tag", "double(id) area_m2", "0.5 confidence", "'' review_reasons", "array(array(array(0d, 0d), array(1d, 0d), array(1d, 1d))) rings")
+    assert pictures.viewer(rows, dict.fromkeys(("before", "after", "heat"), b"x"), 4, 4, str(tmp_path / "v.html")) == 21000
+    assert (tmp_path / "v.html").read_text().count('"change_id"') == 21000

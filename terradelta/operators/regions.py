@@ -87,6 +87,7 @@ def numbered(labels: DataFrame) -> DataFrame:
 
     The distinct labels are sorted in ranges; each takes its place in its range and the
     length of the ranges before it, so no task sees all of them."""
+    labels = _checkpointed(labels)  # the sample of the ranges shouldn't find the components again
     ranged = _checkpointed(labels.select("label").distinct().repartitionByRange("label").withColumn("_range", F.spark_partition_id()))
     length = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("n"))  # a row a partition
     before = length.select("_range", (F.sum("n").over(W.orderBy("_range")) - F.col("n")).alias("_before"))
@@ -220,7 +221,7 @@ def rectangles(labels: DataFrame, pixel: float = 0.5) -> DataFrame:
 def change_ids(regions: DataFrame) -> DataFrame:
     """change_id by area, largest first, then label.  Ranges of the order are numbered on their own, behind the lengths of those before."""
     order = [F.col("area").desc(), F.col("label")]
-    ranged = _checkpointed(regions.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    ranged = _checkpointed(_checkpointed(regions).repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
     length = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("n"))  # a row a partition
     before = length.select("_range", (F.sum("n").over(W.orderBy("_range")) - F.col("n")).alias("_before"))
     place = F.row_number().over(W.partitionBy("_range").orderBy(*order))

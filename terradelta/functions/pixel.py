@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 from operator import add
 
@@ -74,6 +75,16 @@ def rounded(x, digits: int) -> Column:
     return F.rint(col(x) * 10**digits) / 10**digits
 
 
+def exact_rounded(x, digits: int) -> Column:
+    """Rounds by the exact binary value to at least one digit: 2.675 at two digits is 2.67; exact ties go to even.
+
+    Below one unit of the last digit the number format would judge the shortest decimal form, so half a unit decides there."""
+    x, unit, half = col(x), float(f"1e-{digits}"), float(f"5e-{digits + 1}")
+    up = F.abs(x) >= half if Decimal(half) > Decimal(f"5e-{digits + 1}") else F.abs(x) > half
+    whole = F.call_function("format_number", x, F.lit("0." + "0" * digits)).cast("double")
+    return F.when(F.abs(x) < unit, F.signum(x) * F.when(up, unit).otherwise(0.0)).otherwise(whole)
+
+
 def utm_epsg(lon, lat) -> Column:
     zone = F.pmod(F.floor((col(lon) + 180) / 6), F.lit(60)) + 1
     return (F.when(col(lat) >= 0, 32600).otherwise(32700) + zone).cast("int")

@@ -432,7 +432,7 @@ _REGION = (
     SHAPES
     + f""",
 delta AS (SELECT row, col, score, {_DELTA_SQL}, (0.2989 * a1 + 0.5870 * a2 + 0.1140 * a3) - (0.2989 * b1 + 0.5870 * b2 + 0.1140 * b3) AS d_lum FROM scores),
-facts AS (SELECT label, round(avg(score), 4) AS change_magnitude, round(avg(greatest(0.0, least(1.0, (score - threshold) / greatest(1 - threshold, 1e-6)))), 4) AS confidence, round(avg(d_ndvi), 6) AS d_veg, round(avg(d_ndbi), 6) AS d_built, round(avg(d_lum), 6) AS d_lum FROM (SELECT label, row, col FROM kept) JOIN delta USING (row, col), thr GROUP BY 1),
+facts AS (SELECT label, round(avg(score), 4) AS change_magnitude, round(avg(greatest(0.0, least(1.0, (score - threshold) / greatest(1 - threshold, 1e-6)))), 4) AS confidence, round(avg(d_ndvi), 12) AS d_veg, round(avg(d_ndbi), 12) AS d_built, round(avg(d_lum), 12) AS d_lum FROM (SELECT label, row, col FROM kept) JOIN delta USING (row, col), thr GROUP BY 1),
 region AS (SELECT * FROM shapes JOIN facts USING (label))"""
 )
 
@@ -456,7 +456,7 @@ def tag_regions(spark, sf_dir):
     return rules.tag(_region_table(spark, sf_dir)).select("label", "type_tag", "tags")
 
 
-@query(f"WITH {KEPT} SELECT label, round(avg(sqrt((pow(a1 - b1, 2) + pow(a2 - b2, 2) + pow(a3 - b3, 2)) / 3)), 6) AS chroma, round(avg(CASE WHEN valid THEN 0.0 ELSE 1.0 END), 6) AS nodata FROM kept JOIN scores USING (row, col) GROUP BY 1")
+@query(f"WITH {KEPT} SELECT label, round(avg(sqrt((pow(a1 - b1, 2) + pow(a2 - b2, 2) + pow(a3 - b3, 2)) / 3)), 12) AS chroma, round(avg(CASE WHEN valid THEN 0.0 ELSE 1.0 END), 6) AS nodata FROM kept JOIN scores USING (row, col) GROUP BY 1")
 def region_evidence(spark, sf_dir):
     return _region_table(spark, sf_dir).select("label", "chroma", F.round("nodata", 6).alias("nodata"))
 

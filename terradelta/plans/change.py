@@ -48,7 +48,8 @@ def region_table(pair: DataFrame, labels: DataFrame, deltas: Callable[[DataFrame
     means = labels.select("label", "row", "col").join(facts, ["row", "col"]).crossJoin(F.broadcast(limit)).groupBy("label").agg(
         F.round(F.avg("score"), 4).alias("change_magnitude"),
         F.round(F.avg(P.margin("score", "_t")), 4).alias("confidence"),
-        *[F.round(F.avg(c), 6).alias(n) for c, n in (("d_ndvi", "d_veg"), ("d_ndbi", "d_built"), ("d_lum", "d_lum"), ("chroma", "chroma"))],
+        # twelve digits drop only the noise of summing in another order; the tags decide on these values, not on rounded evidence
+        *[F.round(F.avg(c), 12).alias(n) for c, n in (("d_ndvi", "d_veg"), ("d_ndbi", "d_built"), ("d_lum", "d_lum"), ("chroma", "chroma"))],
         F.avg((~F.col("valid")).cast("double")).alias("nodata"),
     )
     none = F.lit(None).cast("double")

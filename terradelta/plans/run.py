@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
+from ..functions import pixel as P
 from ..operators import detect, regions, registration, rules, vectors
 from ..operators.regions import _checkpointed as kept
 from ..sinks import pictures, record
@@ -179,7 +180,7 @@ def _run(spark, before, after, folder, at, say, config, allow_misaligned, auto_c
     before_filter = judged.count()
     judged = regions.change_ids(judged).where(F.col("area_m2") >= config.postprocessing.min_mapping_unit_m2)
     judged = vectors.simplify(judged, config.polygons.simplify_tolerance_px * abs(info["affine"][0]))
-    evidence = F.to_json(F.struct(*[F.round(c, 4).alias(c) for c in EVIDENCE])).alias("tag_evidence")
+    evidence = F.to_json(F.struct(*[P.exact_rounded(c, 4).alias(c) for c in EVIDENCE])).alias("tag_evidence")
     final = kept(
         judged.select(
             "change_id", "area_m2", "centroid_lon", "centroid_lat", "centroid_x", "centroid_y", "projected_epsg", "change_magnitude", "confidence", "pixel_count",

@@ -40,3 +40,14 @@ def test_config_is_strict():
         with pytest.raises(ValueError):
             config_of(bad)
     assert config_of({k: {} for k in ("detection", "validation", "postprocessing", "polygons", "alignment", "routing", "bands", "tagging", "severity")}) == Config()
+
+
+def test_exact_rounding_is_that_of_python(spark):
+    from terradelta.functions import pixel
+
+    r = random.Random(5)
+    values = [2.675, 0.125, 0.375, -2.675, 1.00005, 0.00005, -0.00005, 0.00004, 0.005, 0.0049, -0.015, 1234567.00015, 0.0, None] + [r.uniform(-3, 3) for _ in range(500)] + [r.randrange(-40000, 40000) / 20000 for _ in range(500)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for digits in (2, 4):
+        got = [x[0] for x in df.select(pixel.exact_rounded("v", digits)).collect()]
+        assert got == [None if v is None else round(v, digits) for v in values], digits

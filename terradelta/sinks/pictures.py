@@ -92,6 +92,6 @@ def viewer(regions: DataFrame, images: dict[str, bytes], height: int, width: int
         f.write(head + "[")
         for n, r in enumerate(regions.orderBy(F.col("area_m2").desc(), "change_id").select(*[c for c in names if c in regions.columns], "rings").toLocalIterator(), 1):
             row = {c: r[c] for c in names if c in r} | {"path": svg_path(r["rings"])}
-            f.write((",\n" if n > 1 else "") + json.dumps(row).replace("</", "<\\/"))
+            f.write((",\n" if n > 1 else "") + json.dumps(row, default=float).replace("</", "<\\/"))
         f.write("]" + tail)
     return n

@@ -83,33 +83,77 @@ def _turn(a, b, c):
     return np.sign((b[..., 0] - a[..., 0]) * (c[..., 1] - a[..., 1]) - (b[..., 1] - a[..., 1]) * (c[..., 0] - a[..., 0]))
 
 
-def _meet(p: np.ndarray, q: np.ndarray, proper: bool) -> np.ndarray:
-    """Which segments of q meet one segment p; proper: cross inside both."""
+def _crossed(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Which segments of q cross one segment p inside both."""
     a, b, c, d = p[0], p[1], q[:, 0], q[:, 1]
-    one, two, three, four = _turn(a, b, c), _turn(a, b, d), _turn(c, d, a[None]), _turn(c, d, b[None])
-    if proper:
-        return (one * two < 0) & (three * four < 0)
-    boxes = (np.minimum(c, d) <= np.maximum(a, b)).all(1) & (np.maximum(c, d) >= np.minimum(a, b)).all(1)
-    return boxes & (one * two <= 0) & (three * four <= 0)
-
-
-def inside(x: float, y: float, rings: list) -> bool:
-    odd = False
-    for r in rings:
-        (x0, y0), (x1, y1) = r.T, np.roll(r, -1, 0).T
-        over = (y0 > y) != (y1 > y)
-        odd ^= bool(np.count_nonzero(over & (x < x0 + (y - y0) * (x1 - x0) / np.where(y1 == y0, 1, y1 - y0))) % 2)
-    return odd
-
-
-def intersect(one: list, two: list) -> bool:
-    """Whether two polygons share a point; touching counts."""
-    s, t = _sides(one), _sides(two)
-    if not len(s) or not len(t):
-        return False
-    if any(_meet(x, t, False).any() for x in s):
-        return True
-    return inside(*one[0][0], two) or inside(*two[0][0], one)
+    return (_turn(a, b, c) * _turn(a, b, d) < 0) & (_turn(c, d, a[None]) * _turn(c, d, b[None]) < 0)
+
+
+def _spread(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The indices of all ranges one after another: of which range each is, and the index."""
+    return np.repeat(np.arange(len(count)), count), np.arange(count.sum()) + np.repeat(start - np.cumsum(count) + count, count)
+
+
+def _parts(sizes: np.ndarray, most: int = 1 << 16):
+    """Slices of a list whose sizes add up to at most `most`, or of one entry."""
+    ends, begin = np.cumsum(sizes), 0
+    while begin < len(ends):
+        end = max(begin + 1, int(np.searchsorted(ends, ends[begin] - sizes[begin] + most, "right")))
+        yield slice(begin, end)
+        begin = end
+
+
+class _Flat:
+    """Polygons of an Arrow array as flat corners; side k runs from corner k to corner next[k]."""
+
+    def __init__(self, polygons: pa.ListArray):
+        rings, points = polygons.values, polygons.values.values
+        ring_at, point_at, value_at = (x.offsets.to_numpy() for x in (polygons, rings, points))
+        if (np.diff(value_at) < 2).any():
+            raise ValueError("a corner needs x and y")
+        values = points.values.to_numpy(zero_copy_only=False)
+        self.corners = np.stack([values[value_at[:-1]], values[value_at[:-1] + 1]], 1)
+        first, last = point_at[:-1], point_at[1:] - 1
+        full = np.flatnonzero(last >= first)
+        self.next = np.arange(1, len(self.corners) + 1)
+        self.next[last[full]] = first[full]
+        self.low, self.high = np.minimum(self.corners, self.corners[self.next]), np.maximum(self.corners, self.corners[self.next])
+        self.start, self.count = point_at[ring_at[:-1]], point_at[ring_at[1:]] - point_at[ring_at[:-1]]
+        self.firsts, at = first[full], np.searchsorted(full, ring_at)  # rings without corners have no part in anything
+        self.ring, self.rings = at[:-1], np.diff(at)
+
+
+def shared(one: pa.ListArray, two: pa.ListArray) -> np.ndarray:
+    """Whether the polygons of each row share a point; touching counts.
+
+    They do if sides meet or a ring of one, which need not hang together with the
+    others, starts inside the other.  All rows are judged together, about 2^16
+    pairs of sides at a time, so memory doesn't grow with the product of two outlines."""
+    a, b = _Flat(one), _Flat(two)
+    met = np.zeros(len(one), bool)
+    rows, sides = _spread(a.start, a.count)
+    for part in _parts(b.count[rows]):
+        row, s = rows[part], sides[part]
+        row, s = row[~met[row]], s[~met[row]]
+        of, t = _spread(b.start[row], b.count[row])
+        row, s = row[of], s[of]
+        near = np.ones(len(t), bool)
+        for k in (0, 1):
+            near &= (b.low[t, k] <= a.high[s, k]) & (b.high[t, k] >= a.low[s, k])
+        row, s, t = row[near], s[near], t[near]
+        p, q, u, v = a.corners[s], a.corners[a.next[s]], b.corners[t], b.corners[b.next[t]]
+        met[row[(_turn(p, q, u) * _turn(p, q, v) <= 0) & (_turn(u, v, p) * _turn(u, v, q) <= 0)]] = True
+    for x, y in ((a, b), (b, a)):
+        left = np.flatnonzero(~met)
+        rows, rings = _spread(x.ring[left], x.rings[left])
+        rows = left[rows]
+        for part in _parts(y.count[rows]):
+            row, at = rows[part], x.corners[x.firsts[rings[part]]]
+            of, t = _spread(y.start[row], y.count[row])
+            (px, py), (x0, y0), (x1, y1) = at[of].T, y.corners[t].T, y.corners[y.next[t]].T
+            beyond = ((y0 > py) != (y1 > py)) & (px < x0 + (py - y0) * (x1 - x0) / np.where(y1 == y0, 1, y1 - y0))
+            met[row[np.bincount(of[beyond], minlength=len(row)) % 2 == 1]] = True
+    return met
 
 
 def simplified(rings: list, tolerance: float) -> list:
@@ -123,7 +167,7 @@ def simplified(rings: list, tolerance: float) -> list:
             return rings
         out.append(r[keep])
     sides = _sides(out)
-    return rings if any(_meet(x, sides[i + 1 :], True).any() for i, x in enumerate(sides)) else out
+    return rings if any(_crossed(x, sides[i + 1 :]).any() for i, x in enumerate(sides)) else out
 
 
 def _plain(x) -> list:
@@ -153,7 +197,10 @@ def spatial_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str
     Both sides are dealt to the grid cells their boxes cover, joined by cell, and a
     pair is judged once, in the cell of the lower-left corner of the boxes' overlap.
     So no pair is listed twice and nothing has to be deduplicated.  cell should be
-    about the size of the larger polygons."""
+    about the size of the larger polygons.  Both sides are shuffled by cell: a side
+    that looks small as a file would be broadcast with all its copies, and the pairs,
+    which may be far more than the rows, would be judged in as few tasks as the other
+    side has parts."""
 
     def dealt(df, key, name):
         boxed = df.where(F.col(rings).isNotNull() & (F.size(F.flatten(rings)) > 0)).select(F.col(key).alias(name), F.col(rings).alias(f"{name}_r"), *_box(rings))
@@ -167,9 +214,9 @@ def spatial_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str
 
     @arrow_udf("boolean")
     def share(x: pa.Array, y: pa.Array) -> pa.Array:
-        return pa.array([intersect(_plain(p), _plain(q)) for p, q in zip(x.to_pylist(), y.to_pylist())], pa.bool_())
+        return pa.array(shared(x, y))
 
-    return a.join(b, ["cx", "cy"]).where(near).where(share("_a_r", "_b_r")).select(F.col("_a").alias(left_id), F.col("_b").alias(right_id))
+    return a.hint("merge").join(b, ["cx", "cy"]).where(near).where(share("_a_r", "_b_r")).select(F.col("_a").alias(left_id), F.col("_b").alias(right_id))
 
 
 def context_hits(regions: DataFrame, layers: dict[str, DataFrame], key: str, cell: float) -> DataFrame:

@@ -1,8 +1,10 @@
 import json
 import random
 import sqlite3
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -26,6 +28,68 @@ def test_spatial_join_equals_brute_force(spark):
     assert got == [(i, j) for i, p in enumerate(a) for j, q in enumerate(b) if meet(p, q)]
 
 
+def test_pairs_of_small_files_are_judged_in_many_tasks(spark, tmp_path):
+    spots = [BOX(x, y, 1, 1) for x in range(0, 200, 5) for y in range(0, 200, 5)]
+    for k in "ij":
+        table(spark, spots, k).coalesce(1).write.parquet(str(tmp_path / k))
+    one, two = (spark.read.parquet(str(tmp_path / k)) for k in "ij")
+    pairs = vectors.spatial_pairs(one, two, "i", "j", 4.0).withColumn("task", F.spark_partition_id())
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # which joins tasks of less than 1 MB
+    try:
+        got = pairs.collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted((r.i, r.j) for r in got) == [(k, k) for k in range(len(spots))]
+    assert len({r.task for r in got}) > 1
+
+
+def test_many_pairs_are_judged_together(spark):
+    one, two = (table(spark, [BOX(k % 20, k // 20, 30, 30) for k in range(n)], key).coalesce(1) for n, key in ((500, "i"), (400, "j")))
+    began = time.time()
+    assert vectors.spatial_pairs(one, two, "i", "j", 64.0).count() == 200_000
+    assert time.time() - began < 14  # one call a pair takes about twice that
+
+
+def test_rings_that_hang_apart_equal_brute_force(spark):
+    r = random.Random(5)
+
+    def ring():
+        x, y = r.randint(-12, 12), r.randint(-12, 12)
+        return [[x + r.randint(-6, 6), y + r.randint(-6, 6)] for _ in range(r.choice((1, 2, 3, 4, 7)))]
+
+    sides = lambda shape: [(c, d) for ring in shape for c, d in zip(ring, ring[1:] + ring[:1])]
+    turn = lambda a, b, c: (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+    sign = lambda n: (n > 0) - (n < 0)
+
+    def meet(a, b, c, d):
+        apart = any(max(a[k], b[k]) < min(c[k], d[k]) or max(c[k], d[k]) < min(a[k], b[k]) for k in (0, 1))
+        return not apart and sign(turn(a, b, c)) * sign(turn(a, b, d)) <= 0 and sign(turn(c, d, a)) * sign(turn(c, d, b)) <= 0
+
+    def within(p, shape):  # a ray to the east; an upward side is crossed if p is left of it
+        return sum((c[1] > p[1]) != (d[1] > p[1]) and (turn(c, d, p) > 0) == (d[1] > c[1]) for c, d in sides(shape)) % 2 == 1
+
+    def share(p, q):
+        return any(meet(*s, *t) for s in sides(p) for t in sides(q)) or any(within(x[0], q) for x in p) or any(within(x[0], p) for x in q)
+
+    shapes = [([ring() for _ in range(r.randint(1, 3))], [ring() for _ in range(r.randint(1, 3))]) for _ in range(2000)]
+    one, two = (pa.array(x, pa.list_(pa.list_(pa.list_(pa.float64())))) for x in zip(*shapes))
+    want = [share(p, q) for p, q in shapes]
+    assert vectors.shared(one, two).tolist() == want and 0 < sum(want) < len(want)
+    assert vectors.shared(one.slice(9, 50), two.slice(9, 50)).tolist() == want[9:59]
+    far = BOX(50, 50, 1, 1)[0]
+    got = vectors.spatial_pairs(table(spark, [[far, BOX(4, 4, 1, 1)[0]], [far]], "i"), table(spark, [BOX(0, 0, 60, 20)], "j"), "i", "j", 16.0).collect()
+    assert [tuple(x) for x in got] == [(0, 0)]
+
+
+def test_outlines_of_many_corners_are_judged_in_parts():
+    angles = np.arange(600) * 2 * np.pi / 600
+    circle = lambda size: (np.stack([np.cos(angles), np.sin(angles)], 1) * size).tolist()
+    kind = pa.list_(pa.list_(pa.list_(pa.float64())))
+    one = pa.array([[circle(9)], [circle(9), circle(8)], [circle(9)], None, [[]]], kind)
+    assert vectors.shared(one, pa.array([[circle(5)]] * 2 + [[[[8.9, 0.0], [20.0, 1.0], [20.0, -1.0]]]] + [[circle(5)]] * 2, kind)).tolist() == [True, False, True, False, False]
+    assert vectors.shared(one.slice(0, 0), one.slice(0, 0)).tolist() == []
+
+
 def test_context_hits(spark):
     regions = table(spark, [BOX(0, 0, 2, 2), BOX(10, 10, 1, 1), BOX(50, 50, 1, 1)], "label")
     ring = [[[0.0, 0.0], [30.0, 0.0], [30.0, 30.0], [0.0, 30.0]], [[5.0, 5.0], [25.0, 5.0], [25.0, 25.0], [5.0, 25.0]]]
